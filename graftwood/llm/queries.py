@@ -6,6 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting with the key of the pseudonyms; a deployment sets its own.
+PII_KEY = "spark.graftwood.pii.key"
+PII_KEY_UNSET = "graftwood-development-key"
+
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Listed canonical URLs of the method: spam, betting and tracking hosts.
+URL_LIST = ("spam-farm.example.org/", "cheap-pills.example.com/", "casino-win.example.org/", "ads-track.example.org/", "free-bets.example.com/")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +31,55 @@ def op2_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    listed = [("block", *u.split("/", 1)) for u in URL_LIST]
+    rows = [f"('{h}', '{p}', '{v}', true)" for v, h, p in URL_RULES] + [f"('{h}', '/{p}', '{v}', false)" for v, h, p in listed]
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(host, path, verdict, named)")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_KEY_UNSET))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import NearDedup, near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), NearDedup(shingle=3, num=85, den=100))
+    return near_duplicates(_table(spark, sf_dir, "documents"), NearDedup(shingle=3, num=85, den=100, bands=25))
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = r"""
@@ -39,9 +92,39 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)
 """
 
+OP3_SQL = r"""
+WITH rules(host, path, verdict, named) AS (VALUES
+  ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true),
+  ('spam-farm.example.org', '/', 'block', false), ('cheap-pills.example.com', '/', 'block', false), ('casino-win.example.org', '/', 'block', false),
+  ('ads-track.example.org', '/', 'block', false), ('free-bets.example.com', '/', 'block', false)
+), p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), seen AS (SELECT DISTINCT host, path FROM p)
+, best AS (
+  SELECT s.host, s.path, arg_max(r, (CASE WHEN r.named THEN 1000000 ELSE 0 END) + length(r.host) + length(r.path)) AS r
+  FROM seen s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+  GROUP BY s.host, s.path
+)
+SELECT p.page_id, p.host, p.path, CASE WHEN b.r.named THEN b.r.host || b.r.path END AS rule, coalesce(b.r.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_brown_lm": op1_brown_lm,
-    "op2_lsm_exact_dedup": op2_lsm_exact_dedup,
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_brown_lm,
+        op2_lsm_exact_dedup,
+        op3_url_filter,
+        op4_best_fit_packing,
+        op5_pii_pseudonyms,
+        op6_template_decontamination,
+        op7_minhash_near_dedup,
+        op8_cotrained_quality,
+        op9_main_text,
+        op10_secret_scan,
+    )
 }
-ORACLES: dict[str, str] = {"op2_lsm_exact_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_lsm_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL}
