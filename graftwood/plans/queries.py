@@ -72,7 +72,7 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
     """Replies of a comparison, made from the numbers of line items: strings, floats, gaps and out-of-range values among them."""
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_linenumber <= 3")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     s = lambda x: x.cast("string")
     q = F.col("l_quantity").cast("int")
@@ -132,7 +132,7 @@ _MATCHES = f"""{_FILES}, m AS (
   SELECT a.path AS file_a, b.path AS file_b, min(m.ord) AS ord FROM m JOIN f a ON a.repo = 'A' AND a.dir = dir_a JOIN f b ON b.repo = 'B' AND b.dir = dir_b GROUP BY ALL
 )"""
 _PARSED = """
-li AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, l_partkey % 3 AS pa, l_suppkey % 2 AS sb FROM lineitem WHERE l_linenumber <= 3)
+li AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, l_partkey % 3 AS pa, l_suppkey % 2 AS sb FROM lineitem)
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, key) - 1 AS pos FROM (
   SELECT *, '{"func_a": {"name": "f' || pa || '", "line_start": ' || q || '}' || CASE WHEN k % 19 = 0 THEN '' ELSE ', "func_b": {"name": "g' || sb END AS key FROM li))
 , x AS (
@@ -323,7 +323,7 @@ def dir_budget(spark, sf):
   SELECT repo, dir, path, k, 1 AS bin, [w]::BIGINT[] AS loads FROM o WHERE k = 1
   UNION ALL
   SELECT q.repo, q.dir, q.path, q.k, CASE WHEN p > 0 THEN p ELSE len(loads) + 1 END, CASE WHEN p > 0 THEN list_concat(list_concat(loads[1:p - 1], [loads[p] + w]), loads[p + 1:]) ELSE list_append(loads, w) END
-  FROM (SELECT o.*, r.loads, coalesce(list_position(list_transform(r.loads, v -> v + o.w <= {BIN_BUDGET}), true), 0) AS p FROM r JOIN o ON o.repo = r.repo AND o.dir = r.dir AND o.k = r.k + 1) q
+  FROM (SELECT o.*, r.loads, coalesce(list_position(list_transform(r.loads, lambda v: v + o.w <= {BIN_BUDGET}), true), 0) AS p FROM r JOIN o ON o.repo = r.repo AND o.dir = r.dir AND o.k = r.k + 1) q
 ) SELECT repo, dir, path, CAST(bin - 1 AS INTEGER) AS bin FROM r"""
 )
 def ffd_bins(spark, sf):
@@ -384,33 +384,34 @@ def heuristic_match_names(spark, sf):
     return matching.heuristic_matches(matching.similarities(_summaries(spark, sf)), _cut(spark))
 
 
-_GIVEN = """o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS INTEGER) AS ord, 'd' || (o_custkey % 97) AS dir_a, 'd' || ((o_custkey * 7 + o_orderkey) % 89) AS dir_b,
-  ['high', 'medium', 'low', 'odd'][o_orderkey % 4 + 1] AS confidence, 'r' || o_orderkey AS reason FROM orders WHERE o_orderkey % 7 = 0)"""
+_GIVEN = """o AS (SELECT CAST(o_orderkey AS INTEGER) AS ord, 'd' || (o_custkey % 37) AS dir_a, 'd' || ((o_custkey * 7 + o_orderkey) % 31) AS dir_b,
+  ['high', 'medium', 'low', 'odd'][o_orderkey % 4 + 1] AS confidence, 'r' || o_orderkey AS reason FROM orders)"""
+_RANK = "CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, ord"
 
 
 def _given(spark, sf):
     """Replies of several batches, made from orders: the same directories again and again."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 7 = 0")
+    o = spark.read.parquet(f"{sf}/orders.parquet")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: x.cast("string")
     level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "odd"))), (k % 4 + 1).cast("int"))
-    return o.select(k.cast("int").alias("ord"), F.concat(F.lit("d"), s(c % 97)).alias("dir_a"), F.concat(F.lit("d"), s((c * 7 + k) % 89)).alias("dir_b"), level.alias("confidence"), F.concat(F.lit("r"), s(k)).alias("reason"))
+    return o.select(k.cast("int").alias("ord"), F.concat(F.lit("d"), s(c % 37)).alias("dir_a"), F.concat(F.lit("d"), s((c * 7 + k) % 31)).alias("dir_b"), level.alias("confidence"), F.concat(F.lit("r"), s(k)).alias("reason"))
 
 
 @query(
-    f"""WITH RECURSIVE {_GIVEN}, cand AS (SELECT * FROM o){_GREEDY.format(order="CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, ord")}
-SELECT best.ord, dir_a, dir_b, confidence, reason FROM best JOIN run ON best.k = run.k WHERE hit""".replace("SELECT * FROM o)", "SELECT ord, dir_a, dir_b, confidence, reason FROM o)")
+    f"""WITH RECURSIVE {_GIVEN}, cand AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY dir_a, dir_b ORDER BY {_RANK}) AS r FROM o) WHERE r = 1){_GREEDY.format(order=_RANK)}
+SELECT best.ord, dir_a, dir_b, confidence, reason FROM best JOIN run ON best.k = run.k WHERE hit"""
 )
 def resolve_one_to_one(spark, sf):
     return matching.one_to_one(_given(spark, sf), _cut(spark)).select("ord", "dir_a", "dir_b", "confidence", "reason")
 
 
-@query(f"""WITH {_GIVEN}, d AS (SELECT DISTINCT dir_a AS dir FROM o WHERE k % 2 = 0), e AS (SELECT DISTINCT dir_b AS dir FROM o WHERE k % 3 = 0)
+@query(f"""WITH {_GIVEN}, d AS (SELECT 'd' || r_regionkey AS dir FROM region), e AS (SELECT 'd' || n_nationkey AS dir FROM nation)
 SELECT ord, dir_a, dir_b, confidence, reason FROM o WHERE dir_a IN (FROM d) AND dir_b IN (FROM e)""")
 def match_validation(spark, sf):
-    given = _given(spark, sf)
-    dirs = given.filter("ord % 2 = 0").select(F.lit("A").alias("repo"), F.col("dir_a").alias("dir")).union(given.filter("ord % 3 = 0").select(F.lit("B"), "dir_b")).distinct()
-    return matching.valid_matches(given, dirs)
+    """Directories of A are numbered like regions, those of B like nations."""
+    numbered = lambda table, key, repo: spark.read.parquet(f"{sf}/{table}.parquet").select(F.lit(repo).alias("repo"), F.concat(F.lit("d"), F.col(key).cast("string")).alias("dir"))
+    return matching.valid_matches(_given(spark, sf), numbered("region", "r_regionkey", "A").union(numbered("nation", "n_nationkey", "B")))
 
 
 @query(f"WITH {_FILES}, d AS (SELECT DISTINCT repo, dir FROM f) SELECT repo, dir, CAST((row_number() OVER (PARTITION BY repo ORDER BY dir) - 1) // {BATCH} AS INTEGER) AS batch FROM d")
