@@ -1,7 +1,7 @@
 """Quality classifier by co-training on two views.
 
 The *content* view sees the text (shape statistics and the presence of telling
-words), the *metadata* view sees what is known about the document without reading
+words and word stems), the *metadata* view sees what is known about the document without reading
 it (source, language, length).  Each round, either classifier labels the documents
 of an unlabelled pool that it is surest of, and they join the other's training
 rows.  Both are then calibrated, and combined, on labelled rows that neither has
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_text import STOP_WORDS
+from .scratch import materialize
 from .textvec import NON_LETTER, Words, text_chunks
 
 SHAPE = 14
@@ -36,11 +37,13 @@ class CoTraining:
     labelled_rows: int = 12_000
     pool_rows: int = 4_000
     words: int = 600
-    least_df: int = 5
+    stems: tuple[int, ...] = (4, 5)
+    least_df: int = 4
+    least_chi: float = 10.8
     rounds: int = 4
     per_round: int = 200
     sure: float = 0.95
-    l2: float = 1e-3
+    prior: float = 1.0
     threshold: float = 0.5
     sources: int = 64
 
@@ -81,28 +84,27 @@ def shape_of(raw: bytes, h: np.ndarray, stop: np.ndarray) -> np.ndarray:
     )
 
 
-def _features(selected: np.ndarray | None):
-    """Shape statistics of each text, and the distinct hashes of its words (of the selected ones, their places)."""
+def _features(selected: np.ndarray | None, p: CoTraining):
+    """Shape statistics of each text, and the distinct hashes of its words and word stems (of the selected ones, their places)."""
     stop = _stop_hashes()
 
     def of(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         words = Words([x.lower() for x in texts], NON_LETTER)
         ends = np.cumsum(words.counts)
-        shapes, sets = np.empty((len(texts), SHAPE)), []
-        if selected is not None and len(selected):
-            at = np.minimum(np.searchsorted(selected, words.h), len(selected) - 1)
-            place = np.where(selected[at] == words.h, at, -1)
+        shapes = np.empty((len(texts), SHAPE))
         for k, (raw, to, n) in enumerate(zip(texts, ends, words.counts, strict=True)):
-            h = words.h[to - n : to]
-            shapes[k] = shape_of(raw, h, stop)
-            if selected is None:
-                sets.append(np.unique(h))
-            elif len(selected):
-                own = place[to - n : to]
-                sets.append(np.unique(own[own >= 0]))
-            else:
-                sets.append(np.empty(0, np.int64))
-        return shapes, sets
+            shapes[k] = shape_of(raw, words.h[to - n : to], stop)
+        hashes, owner = zip((words.h, words.doc), *(words.stems(n) for n in p.stems), strict=True)
+        h, doc = np.concatenate(hashes), np.concatenate(owner)
+        if selected is not None:
+            at = np.minimum(np.searchsorted(selected, h), max(0, len(selected) - 1))
+            hit = selected[at] == h if len(selected) else np.zeros(len(h), bool)
+            h, doc = at[hit], doc[hit]
+        by = np.lexsort((h, doc))
+        h, doc = h[by], doc[by]
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[: len(h)]
+        h, doc = h[first], doc[first]
+        return shapes, np.split(h, np.searchsorted(doc, np.arange(1, len(texts))))
 
     return of
 
@@ -130,22 +132,28 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights (the last one is the intercept) of an L2-regularised logistic regression, by accelerated gradient steps."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 30, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last one is the intercept) of an L2-regularised logistic regression, by Newton steps."""
     x = np.hstack((x, np.ones((len(x), 1)))).astype(np.float32)
-    weight = np.ones(len(y), np.float32) if weight is None else weight.astype(np.float32)
-    total = weight.sum()
-    rate = 4.0 / max(1e-9, float((weight[:, None] * x * x).sum() / total))
-    w = np.zeros(x.shape[1], np.float32)
-    ahead = w.copy()
-    keep = np.full(x.shape[1], l2, np.float32)
-    keep[-1] = 0
-    for k in range(steps):
-        slope = x.T @ (weight * (sigmoid(x @ ahead).astype(np.float32) - y.astype(np.float32))) / total + keep * ahead
-        new = ahead - rate * slope
-        ahead = new + k / (k + 3) * (new - w)
-        w = new
-    return w.astype(np.float64)
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
+    keep = np.full(x.shape[1], l2)
+    keep[-1] = 1e-9
+    loss = lambda v: np.logaddexp(0, -(2 * y - 1) * (x @ v)).mean() + (keep * v * v).sum() / 2
+    now = loss(w)
+    for _ in range(steps):
+        prob = sigmoid(x @ w)
+        slope = x.T @ (prob - y) / len(y) + keep * w
+        bend = np.sqrt(np.maximum(prob * (1 - prob), 1e-6)).astype(np.float32)[:, None] * x
+        step = np.linalg.solve((bend.T @ bend).astype(np.float64) / len(y) + np.diag(keep + 1e-8), slope)
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        if then > now:
+            break
+        w, before, now = w - size * step, now, then
+        if before - now < 1e-7:
+            break
+    return w
 
 
 def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -168,55 +176,68 @@ def _view(docs: DataFrame) -> DataFrame:
     return docs.select(*((docs[have[c]] if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in (*_META, "text")))
 
 
+_FOLD = "pmod(xxhash64(doc_id, 9L), 5)"  # rows of fold 0 calibrate
+
+
+def _telling(rows: DataFrame, p: CoTraining) -> np.ndarray:
+    """Hashes of the words and stems that tell good from bad, by chi-square of their document counts over labelled rows."""
+    of = _features(None, p)
+    good, n = rows.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
+    share = good / max(1, n)
+    if not 0 < share < 1:
+        return np.empty(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            _, sets = of(texts)
+            marks = np.asarray(batch.column(batch.schema.get_field_index("good")).cast(pa.int64()))
+            h, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+            df = np.bincount(inverse, minlength=len(h))
+            pos = np.bincount(inverse, np.repeat(marks, list(map(len, sets))), len(h)).astype(np.int64)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(df), pa.array(pos)], names=["h", "df", "pos"])
+
+    counts = rows.select("good", "text").mapInArrow(run, "h long, df long, pos long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    gap = F.col("pos") - F.col("df") * share
+    chi = gap * gap / F.greatest(F.col("df") * share * (1 - share) * (1 - F.col("df") / n), F.lit(1e-9))
+    best = counts.filter(F.col("df") >= p.least_df).select("h", chi.alias("chi")).filter(F.col("chi") > p.least_chi).orderBy(F.desc("chi"), "h").limit(p.words).toArrow()
+    return np.sort(np.asarray(best.column(0)).view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dict | None:
     """The model, or None if the labels don't show both classes."""
     known, pool = _sample(docs, labels, p)
     wanted = F.broadcast(known.union(pool))  # labelled_rows + pool_rows ids at most
-    joined = _view(docs).join(wanted, "doc_id")
-    of = _features(None)
+    sample = materialize(_view(docs).join(wanted, "doc_id").withColumn("fold", F.expr(_FOLD)), "cotrain-sample")
+    selected = _telling(sample.filter("good >= 0 and fold > 0"), p)
+    of = _features(selected, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             shapes, sets = of(texts)
-            names = ["doc_id", "source", "lang", "n_chars", "good"]
+            names = ["doc_id", "source", "lang", "n_chars", "good", "fold"]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.record_batch([*cols, pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=[*names, "shape", "words"])
+            yield pa.record_batch([*cols, pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.astype(np.int32).tobytes() for x in sets], pa.binary())], names=[*names, "shape", "words"])
 
-    rows = joined.mapInArrow(run, "doc_id long, source string, lang string, n_chars long, good int, shape binary, words binary").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["words"][i]))
+    rows = sample.mapInArrow(run, "doc_id long, source string, lang string, n_chars long, good int, fold long, shape binary, words binary").toArrow().to_pydict()
+    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["words"][i], rows["shape"][i]))
     rows = {c: [v[i] for i in order] for c, v in rows.items()}
-    y = np.array(rows["good"])
+    y, fold = np.array(rows["good"], np.int64), np.array(rows["fold"], np.int64)
     shapes = np.array([np.frombuffer(x) for x in rows["shape"]]).reshape(-1, SHAPE)
-    sets = [np.frombuffer(x, np.uint64) for x in rows["words"]]
+    places = [np.frombuffer(x, np.int32) for x in rows["words"]]
     labelled, pooled = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     if len(labelled) < 10 or len(set(y[labelled].tolist())) < 2:
         return None
-    # one in five labelled rows calibrates
-    fold = np.array([xxhash.xxh32_intdigest(str(i), 9) % 5 for i in rows["doc_id"]])
     learn, check = labelled[fold[labelled] > 0], labelled[fold[labelled] == 0]
     if len(set(y[learn].tolist())) < 2 or len(set(y[check].tolist())) < 2:
         learn = check = labelled
-    m: dict = {"mean": shapes[learn].mean(0), "sd": shapes[learn].std(0) + 1e-6}
-    # words that tell good from bad, by chi-square of their document counts
-    every = np.concatenate([sets[i] for i in learn])
-    good = np.repeat(y[learn], [len(sets[i]) for i in learn])
-    vocabulary, inverse = np.unique(every, return_inverse=True)
-    df = np.bincount(inverse, minlength=len(vocabulary))
-    pos = np.bincount(inverse, good, len(vocabulary))
-    share, n = y[learn].mean(), len(learn)
-    gap = pos - df * share
-    chi = np.where(df >= p.least_df, gap**2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9), 0)
-    best = np.lexsort((vocabulary, -chi))[: p.words]
-    m["selected"] = np.sort(vocabulary[best[chi[best] > 6.6]])
-
-    places = [np.flatnonzero(np.isin(m["selected"], s, assume_unique=True)) for s in sets]
+    m: dict = {"mean": shapes[learn].mean(0), "sd": shapes[learn].std(0) + 1e-6, "selected": selected}
     views = {"text": _text_matrix(shapes, places, m), "meta": _meta_matrix(rows["source"], rows["lang"], rows["n_chars"], p)}
     train = {v: (learn, y[learn].astype(float)) for v in views}
     free = pooled
     for turn in range(p.rounds + 1):
         for v, x in views.items():
             ids, target = train[v]
-            m[v] = logistic(x[ids], target, p.l2)
+            m[v] = logistic(x[ids], target, p.prior / len(ids), start=m.get(v))
         if turn == p.rounds or not len(free):
             break
         taken: set[int] = set()
@@ -248,7 +269,7 @@ def predict(m: dict, texts: list[bytes], source: list, lang: list, n_chars: list
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], m: dict, p: CoTraining, named: dict[str, str]):
-    of = _features(m["selected"])
+    of = _features(m["selected"], p)
     for batch, texts in text_chunks(batches, named["text"], 1 << 20):
         column = lambda c: batch.column(batch.schema.get_field_index(named[c])).to_pylist() if c in named else [None] * len(texts)
         yield batch, predict(m, texts, column("source"), column("lang"), column("n_chars"), p, of)

@@ -106,6 +106,14 @@ class Words:
             out = out * 256 + np.where(at >= self._starts, self._buf[np.maximum(at, 0)], 0)
         return out
 
+    def stems(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the first ``n`` (at most 7) bytes of each word that has more, and the index of its text."""
+        longer = np.flatnonzero(self._ends - self._starts > n)
+        out = np.full(len(longer), n, np.uint64)
+        for k in range(n):
+            out = out * np.uint64(256) + self._buf[self._starts[longer] + k].astype(np.uint64)
+        return mix(out), self.doc[longer]
+
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 * CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of record batches that hold about ``limit`` bytes of text, with their texts in UTF-8 (null: empty)."""
