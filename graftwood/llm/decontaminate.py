@@ -7,6 +7,11 @@ their slots: along a diagonal (place in the document less place in the item) eac
 value of the item must always meet the same value of the document.  Windows of
 diagonals that contradict themselves don't count.  So a question with other
 numbers or names is caught, and chance overlaps of placeholders are not.
+
+Names can only be told by their capitals.  So an item with names also has a plain
+template, in which they are words, for copies in capitals or small letters; and a
+text that seems to be names by more than half, such as one in title case, is read
+without names.  A pair counts by the better of the two templates.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ UNITS = (
     "mm|cm|dm|km|m|mg|g|kg|t|lb|lbs|oz|ml|cl|l|s|ms|min|h|hr|hrs|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|mw|kwh|v|a|j|kj|pa|kpa|bar|mph|kmh|usd|eur|gbp|"
     "metres?|meters?|kilometres?|kilometers?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|pounds?|ounces?|litres?|liters?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
 )
-#: A run of digits that doesn't belong to a word; a name: capitals where no sentence begins; a unit behind a number.
+#: A run of digits that doesn't belong to a word; a name: capitalised words where no sentence begins.
 NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*"
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*"
+NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*\p{Ll}[\p{L}'-]*(?: \p{Lu}\p{L}*\p{Ll}[\p{L}'-]*)*"
 _N, _A, _U, _END = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
@@ -38,11 +43,13 @@ class Decontamination:
     broadcast_rows: int = 500_000
 
 
-def _slots(text: Column, valued: bool) -> Column:
+def _slots(text: Column, valued: bool, names: bool = True) -> Column:
     """Text with its slots marked; ``valued``: and their values kept between marks."""
     value, end = ("$0", _END) if valued else ("", "")
     t = F.regexp_replace(text, "[\u0001-\u0004]", " ")
-    t = F.regexp_replace(t, NAME, f" {_A}{value}{end} ")
+    if names:
+        bare = F.regexp_replace(t, NAME, f" {_A} ")
+        t = F.when(F.length(bare) * 2 >= F.length(t), F.regexp_replace(t, NAME, f" {_A}{value}{end} ") if valued else bare).otherwise(t)
     t = F.regexp_replace(t, NUMBER, f" {_N}{value}{end} ")
     mark = f"{_N}[^{_END}{_N}]*{_END}" if valued else _N
     unit = f"$1 {_U}$2{end} " if valued else f"$1 {_U} "
@@ -56,9 +63,9 @@ def _template(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def _valued(text: Column) -> Column:
+def _valued(text: Column, names: bool = True) -> Column:
     """The same tokens; slots carry their values."""
-    return F.regexp_extract_all(F.lower(_slots(text, True)), F.lit(rf"[{_N}-{_U}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_slots(text, True, names)), F.lit(rf"[{_N}-{_U}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
 
 
 def _is_slot(x: Column) -> Column:
@@ -73,21 +80,24 @@ def _windows(hashes: Column, w: int) -> Column:
 
 
 def _item_windows(benchmark: DataFrame, p: Decontamination, item_col: str, text_col: str) -> DataFrame:
-    """item_id, j, hash, slots (values, null for words), of the windows that count."""
+    """item_id, plain, j, hash, slots (values, null for words), of the windows that count."""
     base = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text")).filter("item_id is not null")
-    return _spread(base.withColumn("tokens", _valued(F.col("text"))), p, "item_id", "j")
+    base = base.select("item_id", _valued(F.col("text")).alias("named"), _valued(F.col("text"), False).alias("words"))
+    both = F.array(F.struct(F.lit(False).alias("plain"), F.col("named").alias("tokens")), F.struct(F.lit(True).alias("plain"), F.col("words").alias("tokens")))
+    rows = base.select("item_id", F.inline(F.when(F.exists("named", lambda x: x.startswith(_A)), both).otherwise(F.slice(both, 1, 1))))
+    return _spread(rows, p, ["item_id", "plain"], "j")
 
 
-def _spread(df: DataFrame, p: Decontamination, key: str, place: str) -> DataFrame:
+def _spread(df: DataFrame, p: Decontamination, key: list[str], place: str) -> DataFrame:
     w = p.window
     template = F.transform("tokens", lambda x: F.when(_is_slot(x), F.substr(x, F.lit(1), F.lit(1))).otherwise(x))
     df = df.withColumn("__t", template).withColumn("__w", F.transform("__t", lambda x: F.xxhash64(x)))
-    rows = df.select(key, "tokens", "__t", F.posexplode(_windows(F.col("__w"), w)).alias(place, "hash"))
+    rows = df.select(*key, "tokens", "__t", F.posexplode(_windows(F.col("__w"), w)).alias(place, "hash"))
     cut = F.slice("tokens", F.col(place) + 1, F.lit(w))
-    rows = rows.select(key, place, "hash", cut.alias("cut"))
+    rows = rows.select(*key, place, "hash", cut.alias("cut"))
     words = F.size(F.filter("cut", lambda x: ~_is_slot(x)))
     rows = rows.filter((words >= p.literals) | ((F.size("cut") < w) & (words > 0)))
-    return rows.select(key, place, "hash", F.transform("cut", lambda x: F.when(_is_slot(x), x)).alias("slots"))
+    return rows.select(*key, place, "hash", F.transform("cut", lambda x: F.when(_is_slot(x), x)).alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -100,29 +110,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Dec
     """
     w = p.window
     items = materialize(_item_windows(benchmark, p, item_col, item_text), "template-items")
-    sizes = items.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
-    windows = items.select("item_id", "hash").distinct()
+    item = ["item_id", "plain"]
+    sizes = items.groupBy(*item).agg(F.count_distinct("hash").alias("n_windows"))
+    windows = items.select(*item, "hash").distinct()
     small = windows.count() <= p.broadcast_rows
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
 
     words = base.select("doc_id", F.transform(_template(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     hashed = words.select("doc_id", F.explode(F.array_distinct(_windows(F.col("h"), w))).alias("hash"))
-    joined = hashed.join(F.broadcast(windows) if small else windows, "hash")
-    shared = joined.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    pairs = shared.join(sizes, "item_id").filter(F.col("n") >= F.col("n_windows") * p.share).select("doc_id", "item_id", "n_windows")
+    joined = hashed.join(F.broadcast(windows) if small else windows, "hash").select("doc_id", *item, "hash").distinct()
+    shared = joined.groupBy("doc_id", *item).agg(F.count("*").alias("n"))
+    pairs = shared.join(sizes, item).filter(F.col("n") >= F.col("n_windows") * p.share).select("doc_id", *item, "n_windows")
     pairs = materialize(pairs, "template-pairs")
 
     # the candidates once more, with the values of their slots
     few = pairs.count() <= p.broadcast_rows
     ids = pairs.select("doc_id").distinct()
     again = base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    spread = _spread(again.withColumn("tokens", _valued(F.col("text"))), p, "doc_id", "i").withColumnRenamed("slots", "dslots")
-    met = spread.join(pairs.select("doc_id", "item_id"), "doc_id").join(items, ["item_id", "hash"])
-    met = materialize(met.select("doc_id", "item_id", "hash", (F.col("i") - F.col("j")).alias("diag"), "slots", "dslots"), "template-met")
-    slot = met.select("doc_id", "item_id", "diag", F.explode(F.filter(F.arrays_zip("slots", "dslots"), lambda x: x["slots"].isNotNull())).alias("s"))
-    slot = slot.select("doc_id", "item_id", "diag", F.col("s.slots").alias("own"), F.col("s.dslots").alias("other"))
-    wrong = slot.groupBy("doc_id", "item_id", "diag", "own").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi")
-    wrong = wrong.select("doc_id", "item_id", "diag").distinct()
-    sound = met.join(wrong, ["doc_id", "item_id", "diag"], "left_anti").select("doc_id", "item_id", "hash").distinct()
-    out = sound.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched")).join(sizes, "item_id").filter(F.col("n_matched") >= F.col("n_windows") * p.share)
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"))
+    spread = _spread(again.withColumn("tokens", _valued(F.col("text"))), p, ["doc_id"], "i").withColumnRenamed("slots", "dslots")
+    met = spread.join(pairs.select("doc_id", *item), "doc_id").join(items, [*item, "hash"])
+    met = materialize(met.select("doc_id", *item, "hash", (F.col("i") - F.col("j")).alias("diag"), "slots", "dslots"), "template-met")
+    diag = ["doc_id", *item, "diag"]
+    slot = met.select(*diag, F.explode(F.filter(F.arrays_zip("slots", "dslots"), lambda x: x["slots"].isNotNull())).alias("s"))
+    slot = slot.select(*diag, F.col("s.slots").alias("own"), F.col("s.dslots").alias("other"))
+    wrong = slot.groupBy(*diag, "own").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi")
+    sound = met.join(wrong.select(*diag).distinct(), diag, "left_anti").select("doc_id", *item, "hash").distinct()
+    found = sound.groupBy("doc_id", *item).agg(F.count("*").alias("n_matched")).join(sizes, item).filter(F.col("n_matched") >= F.col("n_windows") * p.share)
+    scored = found.select("doc_id", "item_id", F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "n_windows", "n_matched").alias("s"))
+    return scored.groupBy("doc_id", "item_id").agg(F.max("s").alias("s")).select("doc_id", "item_id", "s.n_windows", "s.n_matched", "s.share")
