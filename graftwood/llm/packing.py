@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 
 @dataclass(frozen=True)
 class Packing:
@@ -72,24 +74,24 @@ def pack(docs: DataFrame, p: Packing = Packing(), id_col: str = "doc_id", text_c
     """One row per piece: doc_id, piece, start, length (tokens of the document), bin_id, offset, capacity.
 
     A null or blank text is one token, the end.  Ties are packed by doc_id, then
-    by their order of pieces; repeated rows are packed each.  A row without an id
+    in the order of the rows; repeated rows are packed each.  A row without an id
     is packed like any other, with a null doc_id.  An empty table gives an empty
     result.  Other columns are ignored, whatever their names.
     """
     top = p.capacities[-1]
     n_words = F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), (n_words + 1).cast("long").alias("n"))
+    # lengths are written once, with a number for each row: repeated rows and ids must not heap up in one block
+    base = materialize(docs.select(docs[id_col].cast("long").alias("doc_id"), (n_words + 1).cast("long").alias("n"), F.monotonically_increasing_id().alias("rid")), "pack-lengths")
     pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top)), lambda i: F.struct(i.alias("piece"), (i * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("n") - i * top).alias("length")))
-    rows = base.select("doc_id", F.inline(pieces))
-    # full pieces are bins of their own; the rest is dealt into blocks
-    full = rows.filter(F.col("length") == top).select("doc_id", "piece", "start", "length", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece").alias("bin_id"), F.lit(0).cast("long").alias("offset"), F.lit(top).cast("long").alias("capacity"))
+    rows = base.select("doc_id", "rid", F.inline(pieces))
+    # full pieces are bins of their own; the rest, at most one piece a row, is dealt into blocks
+    full = rows.filter(F.col("length") == top).select("doc_id", "piece", "start", "length", F.concat_ws("-", F.lit("full"), "rid", "piece").alias("bin_id"), F.lit(0).cast("long").alias("offset"), F.lit(top).cast("long").alias("capacity"))
     rest = rows.filter(F.col("length") < top)
-    blocks = max(1, -(-docs.count() // p.block_rows))
-    # the spread is by id and place, so that repeated ids don't heap up
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(blocks)))
+    blocks = max(1, -(-base.count() // p.block_rows))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["length", "doc_id", "rid"], ascending=[False, True, True], na_position="last")
         where, offsets, sizes = best_fit(pdf["length"].tolist(), p)
         return pd.DataFrame(
             {
