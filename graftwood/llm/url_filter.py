@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .scratch import materialize
+
 
 @dataclass(frozen=True)
 class UrlFilter:
@@ -93,6 +95,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, p: UrlFilter = UrlFilter(),
     keys = seen.filter("host <> ''").select("host", "path", F.explode(suffixes).alias("__s")).select("host", "path", "__s", F.explode(prefixes).alias("__p")).select("host", "path", F.concat("__s", F.lit("\n"), "__p").alias("key")) if lengths else seen.limit(0).select("host", "path", F.lit("").alias("key"))
     hits = keys.filter(possible(*_bits(F.col("key"), p))).join(F.broadcast(listed) if small else listed, "key")
     size = F.struct(F.col("r.named"), F.length("r.rh") + F.length("r.rp"), F.length("r.rh"))
-    best = hits.groupBy("host", "path").agg(F.max_by("r", size).alias("r"))
+    # written, so that the join's sides are plain shuffles and a hot page's rows can be split
+    best = materialize(hits.groupBy("host", "path").agg(F.max_by("r", size).alias("r")), "url-verdicts")
     out = base.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.when(F.col("r.named"), F.concat("r.rh", "r.rp")).alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict"))
