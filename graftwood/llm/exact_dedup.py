@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,8 +123,6 @@ def exact_duplicates(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "d
         for x in places:
             x = x.to_numpy()
             hit &= (words[x // 64] >> (x % 64)) & 1 == 1
-        import pandas as pd
-
         return pd.Series(hit)
 
     probed = base.withColumn("__hit", may_repeat(*_places(p)))
@@ -132,8 +131,9 @@ def exact_duplicates(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "d
     hits = materialize(hits, "lsm-hits")
     single = hits.filter("n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     multi = hits.filter("n is not null")
-    # the kept row's bytes meet those of every row of its digest
+    # the kept row's bytes meet those of every row of its digest; written, so that the join's sides are plain shuffles and a large group can be split
     keepers = multi.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
+    keepers = materialize(keepers, "lsm-keepers")
     checked = multi.join(keepers, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256", "digest", (F.col("norm") == F.col("kept_norm")).alias("__same"))
     checked = materialize(checked, "lsm-checked")
     cols = ["doc_id", "keep_id", "group_size", "text_sha256"]
