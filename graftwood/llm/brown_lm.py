@@ -7,8 +7,8 @@ Words are known by 64-bit hashes.  Three passes over the texts:
    word by its ending, in one of ``endings`` groups.  Exchange clustering on this
    matrix, whose size the two parameters bound, assigns units to classes, so each
    word has a class, the unseen ones too;
-3. scores.  Words among the ``head`` most frequent are looked up in a table of
-   that many rows, broadcast (16 bytes a row); all others join the counts.
+3. scores.  The most frequent words, ``head`` of them at most, are looked up in a
+   table that is broadcast (16 bytes a row); all others join the counts.
 
 Emission is add-one within a class, with one place for unseen words; transitions
 are smoothed towards the class's share of all tokens.  The sum of log10(count + 1)
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -205,14 +205,34 @@ def _score(p: BrownLM, model):
     return run
 
 
+def _step() -> Column:
+    """Step of a count on a logarithmic scale, 64 to a doubling."""
+    return F.floor(F.log2(F.col("n")) * 64).cast("int")
+
+
+def _cut(counts: DataFrame, head: int) -> int:
+    """The least step such that the words at it and above are no more than ``head``; a few thousand rows reach the driver."""
+    steps = sorted(((r["s"], r["m"]) for r in counts.groupBy(_step().alias("s")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    cut, held = (steps[0][0] + 1 if steps else 0), 0
+    for step, m in steps:
+        held += m
+        if held > head:
+            break
+        cut = step
+    return cut
+
+
 def fit(train: DataFrame, p: BrownLM = BrownLM()):
     """(word counts: h, e, n; model on the driver).  The model's size depends on the parameters alone."""
     counts = materialize(train.mapInArrow(_count(p), "h long, e long, n long").groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("n")), "lm-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.orderBy(F.desc("n"), "h").limit(p.head).select("h", "e", "n").toArrow()
-    h, n = (np.asarray(frequent.column(i)) for i in (0, 2))
-    h = h.view(np.uint64) if len(h) else np.array([END], np.uint64)
-    n = n.astype(np.int64) if len(n) else np.array([0], np.int64)
+    cut = _cut(counts, p.head)
+    frequent = counts.filter(_step() >= cut).select("h", "e", "n").toArrow()
+    h, e, n = (np.asarray(frequent.column(i)).astype(np.int64) for i in range(3))
+    if not len(h):
+        h, e, n = np.array([END], np.uint64).view(np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    by = np.lexsort((h, -n))
+    h, e, n = h[by].view(np.uint64), e[by], n[by]
     top_n = min(p.units, len(h))
     top = np.sort(h[:top_n])
     pairs = train.mapInArrow(_bigrams(p, top), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
@@ -230,13 +250,12 @@ def fit(train: DataFrame, p: BrownLM = BrownLM()):
     v = np.zeros(p.endings)
     for r in rare:
         v[r["e"]] = r["v"]
-    e_top = np.asarray(frequent.column(1))[:top_n].astype(np.int64)
-    v -= np.bincount(e_top, minlength=p.endings)
+    v = np.maximum(v - np.bincount(e[:top_n], minlength=p.endings), 0)
     kinds += np.bincount(cls[top_n:], v, p.classes)
     share = (tokens + kinds + 1) / (tokens + kinds + 1).sum()
     trans = np.log10((g + p.backoff * share) / (g.sum(1, keepdims=True) + p.backoff))
     by = np.argsort(h)
-    model = {"top": top, "head": h[by], "counts": n[by], "cls": cls, "trans": trans, "emit": np.log10(tokens + kinds + 1), "tokens": int(total), "vocabulary": int(vocabulary), "least": int(n.min()) if len(h) >= p.head else 0}
+    model = {"top": top, "head": h[by], "counts": n[by], "cls": cls, "trans": trans, "emit": np.log10(tokens + kinds + 1), "tokens": int(total), "vocabulary": int(vocabulary), "cut": cut}
     return counts, model
 
 
@@ -254,7 +273,7 @@ def score(docs: DataFrame, p: BrownLM = BrownLM(), id_col: str = "doc_id", text_
     counts, model = fit(base.filter(~held).select("text"), p)
     sent = spark.sparkContext.broadcast(model)
     rows = materialize(base.mapInArrow(_score(p, sent), "rid long, doc_id long, n_tokens long, n_known long, logs double, local double, h long, tf long"), "lm-scores")
-    rare = rows.filter("h is not null").select("rid", "h", "tf").join(counts.filter(F.col("n") <= model["least"]).select("h", "n"), "h")
+    rare = rows.filter("h is not null").select("rid", "h", "tf").join(counts.filter(_step() < model["cut"]).select("h", "n"), "h")
     rare = rare.groupBy("rid").agg(F.sum("tf").alias("__known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("__logs"))
     logs = F.col("logs") + F.coalesce("__logs", F.lit(0.0))
     size = float(np.log10(model["tokens"] + model["vocabulary"] + 1))
