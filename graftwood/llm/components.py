@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     while True:
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join's sides are plain shuffles and the rows of a hub can be split
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), name)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its neighbours below go to the least of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
