@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from graftwood.llm.cotrain import keep_good
 from graftwood.llm.decontaminate import contaminated
-from graftwood.llm.exact_dedup import exact_duplicates, normalised
+from graftwood.llm.exact_dedup import keep_first
 from graftwood.llm.near_dedup import NearDedup, near_duplicates
 from graftwood.llm.packing import pack
 from graftwood.llm.scratch import materialize
 
+#: Ids (8 bytes each) that are broadcast at most; longer lists are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
@@ -24,23 +27,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of equal texts; a row that repeats an id and its text goes too."""
-    gone = exact_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(docs["text"]), 256))
-    left = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__gone_id"]) & (marked["__sha"] == gone["__gone_sha"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    return keep_first(docs)
+
+
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone``: a list of up to BROADCAST_IDS ids is broadcast, a longer one shuffled."""
+    gone = materialize(gone.select(F.col("doc_id").cast("long").alias("__gone_id")).distinct(), f"pipeline-{name}")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("__gone_id"), "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8."""
-    gone = near_duplicates(docs, NearDedup()).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti").select(*docs.columns)
+    return _without(docs, near_duplicates(docs, NearDedup()).filter("not kept"), "near-gone")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti").select(*docs.columns)
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks-gone")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

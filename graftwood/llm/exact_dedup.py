@@ -100,21 +100,15 @@ def build_index(keyed: DataFrame, p: LsmDedup) -> DataFrame:
     return materialize(runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(_compact, "digest binary, keep_id long, n long"), "lsm-index")
 
 
-def exact_duplicates(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def _keyed(docs: DataFrame, p: LsmDedup, id_col: str, text_col: str) -> DataFrame:
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), normalised(docs[text_col]).alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    return base.withColumn("digest", F.unhex(F.substring("text_sha256", 1, p.digest_chars)))
 
-    Null texts are empty; runs of white space equal one space; nothing is trimmed.
-    The row with the smallest id of equal texts stays.  Rows that repeat an id and
-    a text all count and share the result.  A row without an id counts in its
-    group; it is kept only where no row of the group has an id, and keep_id is then
-    null.  An empty table gives an empty result.  Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    norm = normalised(docs[text_col])
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), norm.alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    base = base.withColumn("digest", F.unhex(F.substring("text_sha256", 1, p.digest_chars)))
-    index = build_index(base, p)
-    bits = spark.sparkContext.broadcast(_filter_words(index, p))
+
+def _open(keyed: DataFrame, p: LsmDedup) -> tuple[DataFrame, Column]:
+    """The index, and whether the filter holds the ``digest`` of a row."""
+    index = build_index(keyed, p)
+    bits = keyed.sparkSession.sparkContext.broadcast(_filter_words(index, p))
 
     @pandas_udf("boolean")
     def may_repeat(*places):
@@ -125,10 +119,15 @@ def exact_duplicates(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "d
             hit &= (words[x // 64] >> (x % 64)) & 1 == 1
         return pd.Series(hit)
 
-    probed = base.withColumn("__hit", may_repeat(*_places(p)))
-    alone = probed.filter(~F.col("__hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    hits = probed.filter("__hit").select("doc_id", "norm", "text_sha256", "digest").join(index.filter("n > 1"), "digest", "left")
-    hits = materialize(hits, "lsm-hits")
+    return index, may_repeat(*_places(p))
+
+
+_COLS = ["doc_id", "keep_id", "group_size", "text_sha256"]
+
+
+def _decided(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """_COLS of the rows (doc_id, norm, text_sha256, digest) that the filter lets pass, after byte verification."""
+    hits = materialize(hits.select("doc_id", "norm", "text_sha256", "digest").join(index.filter("n > 1"), "digest", "left"), "lsm-hits")
     single = hits.filter("n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     multi = hits.filter("n is not null")
     # the kept row's bytes meet those of every row of its digest; written, so that the join's sides are plain shuffles and a large group can be split
@@ -136,14 +135,46 @@ def exact_duplicates(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "d
     keepers = materialize(keepers, "lsm-keepers")
     checked = multi.join(keepers, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256", "digest", (F.col("norm") == F.col("kept_norm")).alias("__same"))
     checked = materialize(checked, "lsm-checked")
-    cols = ["doc_id", "keep_id", "group_size", "text_sha256"]
     wrong = checked.filter("not __same").select("digest").distinct()
     if wrong.isEmpty():
-        verified = checked.select(cols)
-    else:
-        clash = multi.join(wrong, "digest", "left_semi")
-        fixed = clash.groupBy("norm").agg(F.min("doc_id").alias("k"), F.count("*").alias("m"))
-        again = clash.select("doc_id", "norm", "text_sha256").join(fixed, "norm").select("doc_id", F.col("k").alias("keep_id"), F.col("m").alias("group_size"), "text_sha256")
-        verified = checked.join(wrong, "digest", "left_anti").select(cols).union(again.select(cols))
-    out = alone.select(cols).union(single.select(cols)).union(verified)
+        return single.union(checked.select(_COLS))
+    clash = multi.join(wrong, "digest", "left_semi")
+    fixed = materialize(clash.groupBy("norm").agg(F.min("doc_id").alias("k"), F.count("*").alias("m")), "lsm-fixed")
+    again = clash.select("doc_id", "norm", "text_sha256").join(fixed, "norm").select("doc_id", F.col("k").alias("keep_id"), F.col("m").alias("group_size"), "text_sha256")
+    return single.union(checked.join(wrong, "digest", "left_anti").select(_COLS)).union(again.select(_COLS))
+
+
+def exact_duplicates(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null texts are empty; runs of white space equal one space; nothing is trimmed.
+    The row with the smallest id of equal texts stays.  Rows that repeat an id and
+    a text all count and share the result.  A row without an id counts in its
+    group; it is kept only where no row of the group has an id, and keep_id is then
+    null.  An empty table gives an empty result.  Other columns are ignored.
+    """
+    base = _keyed(docs, p, id_col, text_col)
+    index, hit = _open(base, p)
+    probed = base.withColumn("__hit", hit)
+    alone = probed.filter(~F.col("__hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    out = alone.union(_decided(probed.filter("__hit"), index))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_first(docs: DataFrame, p: LsmDedup = LsmDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, for each text: that with the smallest id; of rows that repeat id and text, any one.
+
+    Rows that miss the filter stay where they are; only hits are shuffled.  Ids,
+    nulls and white space count as in ``exact_duplicates``.
+    """
+    base = _keyed(docs, p, id_col, text_col)
+    index, hit = _open(base, p)
+    norm = normalised(docs[text_col])
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs[id_col].cast("long").alias("__id"), norm.alias("__norm"))
+    own = own.withColumn("__sha", F.sha2("__norm", 256)).drop("__norm").withColumn("digest", F.unhex(F.substring("__sha", 1, p.digest_chars))).withColumn("__hit", hit)
+    stays = _decided(base.withColumn("__hit", hit).filter("__hit"), index).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stays = materialize(stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct().withColumn("__stays", F.lit(True)), "lsm-stays")
+    # a text has one row that stays, so rows are first held against it and then told apart
+    hits = own.filter("__hit").alias("a").join(stays.alias("b"), (F.col("a.__sha") == F.col("b.__sha")) & F.col("a.__id").eqNullSafe(F.col("b.__id"))).select("a.__id", "a.__sha", "a.__row")
+    hits = hits.groupBy("__id", "__sha").agg(F.first("__row").alias("__row"))
+    return own.filter("not __hit").select("__row").union(hits.select("__row")).select("__row.*")
