@@ -117,7 +117,7 @@ class Comparison:
         # a directory is merged only if every part of it came back
         parts = chunked.select("repo", "dir", "bin", F.concat_ws("\n", "repo", "dir", "bin").alias("id")).join(first, "id")
         lines = F.array_sort(F.collect_list(F.struct("bin", F.concat(F.lit("[Chunk "), (F.col("bin") + 1).cast("string"), F.lit("]\n"), "reply").alias("t"))))
-        merged = parts.groupBy("repo", "dir").agg(F.count_if("error is not null").alias("lost"), F.count("*").alias("chunks"), F.array_join(F.transform(lines, lambda x: x["t"]), "\n\n").alias("text")).filter("lost = 0")
+        merged = parts.groupBy("repo", "dir").agg(F.count_if(F.col("error").isNotNull()).alias("lost"), F.count("*").alias("chunks"), F.array_join(F.transform(lines, lambda x: x["t"]), "\n\n").alias("text")).filter("lost = 0")
         merge = merged.join(totals.select("repo", "dir", "children"), ["repo", "dir"]).select(ident.alias("id"), F.lit("dir_merge").alias("kind"), F.lit(DIR_MERGE).alias("system"), dir_user(F.col("dir"), F.col("children"), F.col("text")).alias("user"))
         second = self.ask(merge)
         replies = first.join(single.select("id"), "id", "left_semi").union(second).filter("error is null").select("id", "reply")

@@ -1,0 +1,166 @@
+"""Whole comparisons: offline, replayed, degraded and resumed."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, replace
+
+import pytest
+
+from graftwood.backends import Answer, OfflineBackend, ReplayBackend
+from graftwood.backends.http import HttpBackend, HttpError
+from graftwood.cli import config_of, main, parser
+from graftwood.config import CompareConfig
+from graftwood.plans.compare import Comparison
+from graftwood.plans.report import Report, markdown, save
+
+CODE = "def load_rows(path):\n    rows = read(path)\n    return rows\n\n\ndef save_rows(path, rows):\n    write(path, rows)\n"
+
+
+@pytest.fixture
+def trees(tmp_path):
+    for repo, folder, files in (("a", "core/io", {"rows.py": CODE, "more.py": "def helper(x):\n    return x\n", "empty.py": ""}), ("b", "core/ios", {"rows.py": CODE.replace("rows", "lines"), "copy.py": CODE}), ("a", "other", {"z.go": "func Zed(a int) int {\n return a\n}\n"})):
+        at = tmp_path / repo / folder
+        at.mkdir(parents=True)
+        for name, text in files.items():
+            (at / name).write_text(text)
+    return str(tmp_path / "a"), str(tmp_path / "b"), tmp_path
+
+
+def _config(tmp_path, **more):
+    return replace(CompareConfig(output_dir=str(tmp_path / "out"), output_format="json", max_in_flight=2), **more)
+
+
+@dataclass(frozen=True)
+class Failing:
+    """Offline, but requests of some kinds fail."""
+
+    kinds: tuple[str, ...]
+
+    def ask(self, kind, system, user, max_tokens):
+        return Answer(None, 0, "down") if kind in self.kinds else OfflineBackend().ask(kind, system, user, max_tokens)
+
+
+def test_offline_run_and_resume(spark, trees):
+    a, b, tmp = trees
+    config = _config(tmp)
+    first = Comparison(spark, config, lambda n: OfflineBackend()).run(a, b)
+    assert (first.files_a, first.files_b) == (4, 2) and first.calls > 0
+    assert ("core/io", "core/ios") in {(m["dir_a"], m["dir_b"]) for m in first.matches}
+    names = {(f["name_a"], f["name_b"]) for f in first.functions}
+    assert ("load_rows", "load_rows") in names and all(f["composite_score"] >= 20 for f in first.functions)
+    report = json.loads((tmp / "out/report.json").read_text())
+    assert report["repo_a_files"] == 4 and report["compare_results"] and report["total_ai_calls"] == first.calls
+    listed = (tmp / "out/compared_pairs.txt").read_text().splitlines()
+    assert len(listed) == len(set(listed)) and all(" -> " in x for x in listed)
+    assert set(json.loads((tmp / "out/dir_summaries.json").read_text())) == {"repo_a", "repo_b"}
+    again = Comparison(spark, config, lambda n: OfflineBackend()).run(a, b)
+    assert again.calls == 0 and again.results() == first.results()
+    # one file changes: only it, what lies above it and its pairs are asked for again
+    (tmp / "a/other/z.go").write_text("func Zed(b int) int {\n return b + 1\n}\n")
+    third = Comparison(spark, config, lambda n: OfflineBackend()).run(a, b)
+    assert 0 < third.calls < first.calls
+
+
+def test_shallow_run_stops_before_pairs(spark, trees):
+    a, b, tmp = trees
+    report = Comparison(spark, _config(tmp, shallow=True), lambda n: OfflineBackend()).run(a, b)
+    assert report.matches and not report.functions and not (tmp / "out/compared_pairs.txt").exists()
+    assert json.loads((tmp / "out/report.json").read_text())["compare_results"] == []
+
+
+def test_failures_degrade_and_are_asked_again(spark, trees):
+    a, b, tmp = trees
+    config = _config(tmp, match_batch_size=0)
+    broken = Comparison(spark, config, lambda n: Failing(("file_summary", "dir_summary", "func_compare"))).run(a, b)
+    assert broken.functions == [] and broken.calls == 0
+    mended = Comparison(spark, config, lambda n: OfflineBackend()).run(a, b)
+    assert mended.calls > 0 and mended.functions
+
+
+def test_replayed_matches(spark, trees):
+    a, b, tmp = trees
+    reply = 'Here: {"matched_dirs": [{"dir_a": "other", "dir_b": "core/ios", "confidence": "high", "reason": "r"}, {"dir_a": "gone", "dir_b": "core"}]}'
+    replies = {"file_summary": '{"purpose": "f"}', "dir_summary": '{"purpose": "d"}', "dir_match": reply, "func_compare": '{"similar_functions": []}'}
+    report = Comparison(spark, _config(tmp), lambda n: ReplayBackend(replies)).run(a, b)
+    assert report.matches == [{"dir_a": "other", "dir_b": "core/ios", "confidence": "high", "reason": "r"}] and report.functions == []
+
+
+def test_flat_trees_match_nothing(spark, tmp_path):
+    for r in "ab":
+        (tmp_path / r).mkdir()
+        (tmp_path / r / "f.py").write_text(CODE)
+    report = Comparison(spark, _config(tmp_path), lambda n: OfflineBackend()).run(str(tmp_path / "a"), str(tmp_path / "b"))
+    assert report.matches == [] and report.functions == []
+
+
+def test_command_line(spark, trees, monkeypatch):
+    a, b, tmp = trees
+    for k in ("OPENAI_API_KEY", "ANTHROPIC_API_KEY", "OPENAI_BASE_URL"):
+        monkeypatch.delenv(k, raising=False)
+    out = str(tmp / "cli")
+    assert main(["compare", a, b, "--output-dir", out, "--offline"], spark) == 0
+    assert (tmp / "cli/report.md").read_text().startswith("# Code similarity report")
+    assert main(["compare", a, b, "--output-dir", out], spark) == 1
+    assert main(["compare", a, str(tmp / "none"), "--output-dir", out, "--offline"], spark) == 1
+    args = parser().parse_args(["compare", "x", "y", "--lang", "go, py", "--threshold", "30", "--json-mode", "--shallow"])
+    config = config_of(args)
+    assert (config.languages, config.similarity_threshold, config.use_json_mode, config.shallow, config.rps, config.match_batch_size) == (frozenset({"go", "py"}), 30, True, True, 3.0, 40)
+
+
+def _function(score, level="high"):
+    dims = {d: 1 for d in ("data_structure", "function_signature", "algorithm_logic", "naming_convention", "protocol_conformance")}
+    return {"file_a": "a.py", "file_b": "b.py", "name_a": "f", "name_b": f"g{score}", "start_a": 1, "end_a": 2, "start_b": 3, "end_b": 4, "composite_score": score, "similarity_level": level, "analysis": "why", **dims}
+
+
+def test_reports(tmp_path):
+    empty = Report("/a", "/b", 1, 2, 3, [{"dir_a": "x", "dir_b": "y", "confidence": "low", "reason": "r"}])
+    assert "No similar functions" in markdown(empty) and "`x`" not in markdown(empty)
+    full = replace(empty, functions=[_function(s) for s in (19, 61, 40)])
+    text = markdown(full)
+    assert text.index("g61") < text.index("g40") < text.index("g19") and "`x` ↔ `y`" in text
+    save(full, str(tmp_path / "r/x.json"), "json")
+    assert len(json.loads((tmp_path / "r/x.json").read_text())["compare_results"][0]["similar_functions"]) == 3
+    with pytest.raises(ValueError):
+        save(full, str(tmp_path / "x"), "xml")
+
+
+def _http(answers, **more):
+    sent, slept = [], []
+
+    def post(url, headers, body):
+        sent.append(body)
+        a = answers[min(len(sent), len(answers)) - 1]
+        if isinstance(a, Exception):
+            raise a
+        return {"choices": [{"message": {"content": a}}]}
+
+    return HttpBackend("http://x/v1/", "k", "m", 1e9, post=post, sleep=slept.append, **more), sent, slept
+
+
+def test_http_retries_with_doubling_pauses():
+    backend, sent, slept = _http([HttpError(429, "slow"), HttpError(None, "reset"), '{"a": 1}'])
+    assert backend.ask("file_summary", "s", "u", 9) == Answer('{"a": 1}', 1, None)
+    assert [x for x in slept if x >= 1] == [3.0, 6.0] and sent[0]["max_tokens"] == 9
+
+
+def test_http_gives_up():
+    backend, sent, _ = _http([HttpError(500, "down")])
+    answer = backend.ask("file_summary", "s", "u", 9)
+    assert answer.reply is None and answer.calls == 0 and "5 tries" in answer.error and len(sent) == 5
+
+
+def test_http_leaves_out_refused_options():
+    backend, sent, _ = _http([HttpError(400, "response_format is unknown"), "{}"], json_mode=True)
+    assert backend.ask("file_summary", "s", "u", 9).reply == "{}"
+    assert "response_format" in sent[0] and "response_format" not in sent[1]
+    refused, sent, _ = _http([HttpError(400, "bad model")])
+    assert refused.ask("file_summary", "s", "u", 9).error and len(sent) == 1
+
+
+def test_http_asks_again_for_json():
+    backend, sent, _ = _http(["no", "still no", '```json\n{"b": 2}\n```'])
+    assert backend.ask("file_summary", "s", "u", 9) == Answer('{"b": 2}', 3, None)
+    assert len(sent[2]["messages"]) == 6
+    backend, _, _ = _http(["no"])
+    assert backend.ask("file_summary", "s", "u", 9).calls == 3
