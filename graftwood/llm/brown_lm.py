@@ -175,7 +175,7 @@ def _score(p: BrownLM, model):
             before = np.concatenate(([m["cls"][end]], c[:-1]))
             local = np.bincount(doc, m["trans"][before, c] - m["emit"][c], len(texts))
             at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-            known = head[at] == h
+            known = (head[at] == h) & (counts[at] > 0)
             logs = np.bincount(doc, np.where(known, log_head[at], 0.0), len(texts))
             n_known = np.bincount(doc, known, len(texts)).astype(np.int64)
             rid = (np.int64(pid) << np.int64(36)) + seq + np.arange(len(texts))
