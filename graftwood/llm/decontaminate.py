@@ -28,8 +28,9 @@ UNITS = (
     "metres?|meters?|kilometres?|kilometers?|miles?|feet|foot|inch|inches|yards?|grams?|kilograms?|pounds?|ounces?|litres?|liters?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
 )
 #: A run of digits that doesn't belong to a word; a name: capitalised words where no sentence begins.
-NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*"
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*\p{Ll}[\p{L}'-]*(?: \p{Lu}\p{L}*\p{Ll}[\p{L}'-]*)*"
+#: Repeated groups are possessive: others take a stack frame for each repetition, and a long text of names would overflow the stack.
+NUMBER = r"(?<![\p{L}\p{N}])[0-9]++(?:[.,:/][0-9]++)*+"
+NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*\p{Ll}[\p{L}'-]*+(?: \p{Lu}\p{L}*\p{Ll}[\p{L}'-]*+)*+"
 _N, _A, _U, _END = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
