@@ -97,5 +97,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, p: UrlFilter = UrlFilter(),
     size = F.struct(F.col("r.named"), F.length("r.rh") + F.length("r.rp"), F.length("r.rh"))
     # written, so that the join's sides are plain shuffles and a hot page's rows can be split
     best = materialize(hits.groupBy("host", "path").agg(F.max_by("r", size).alias("r")), "url-verdicts")
-    out = base.join(best, ["host", "path"], "left")
+    # by its compressed size the table might be broadcast, which has no bound in memory
+    out = base.join(best.hint("merge"), ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.when(F.col("r.named"), F.concat("r.rh", "r.rp")).alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict"))
