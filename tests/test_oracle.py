@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pytest
 
-
 from graftwood.plans import queries
 
 SF = "/root/testdata/sf0.001"
