@@ -12,6 +12,8 @@ PII_KEY_UNSET = "graftwood-development-key"
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Listed canonical URLs of the method: spam, betting and tracking hosts.
+#: Setting with the path of a list of such URLs, one a line (# begins a comment); without it URL_LIST holds, which OP3_SQL repeats.
+URL_LIST_PATH = "spark.graftwood.url.list"
 URL_LIST = ("spam-farm.example.org/", "cheap-pills.example.com/", "casino-win.example.org/", "ads-track.example.org/", "free-bets.example.com/")
 
 
@@ -32,12 +34,13 @@ def op2_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import filter_urls
+    from .url_filter import filter_urls, listing
 
-    listed = [("block", *u.split("/", 1)) for u in URL_LIST]
-    rows = [f"('{h}', '{p}', '{v}', true)" for v, h, p in URL_RULES] + [f"('{h}', '/{p}', '{v}', false)" for v, h, p in listed]
+    path = spark.conf.get(URL_LIST_PATH, "")
+    urls = spark.read.text(path).toDF("url") if path else spark.sql(f"SELECT * FROM VALUES {', '.join(f"('{u}')" for u in URL_LIST)} AS t(url)")
+    rows = [f"('{h}', '{p}', '{v}', true)" for v, h, p in URL_RULES]
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(host, path, verdict, named)")
-    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+    return filter_urls(_table(spark, sf_dir, "pages"), rules.union(listing(urls)))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

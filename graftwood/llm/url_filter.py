@@ -59,6 +59,14 @@ def bloom_words(listing: DataFrame, p: UrlFilter) -> np.ndarray:
     return out
 
 
+def listing(urls: DataFrame) -> DataFrame:
+    """Blocking rules without a name of the lines in column ``url``: a host, or a host and a path; blank lines and comments count for nothing."""
+    line = F.trim(F.regexp_replace("url", "#.*$", ""))
+    rows = urls.select(line.alias("line")).filter("line <> ''")
+    path = F.concat(F.lit("/"), F.regexp_extract("line", "^[^/]*/(.*)$", 1))
+    return rows.select(F.regexp_extract("line", "^[^/]*", 0).alias("host"), path.alias("path"), F.lit("block").alias("verdict"), F.lit(False).alias("named"))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, p: UrlFilter = UrlFilter(), id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row.
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from graftwood.llm import queries
@@ -43,3 +45,20 @@ def test_empty_tables(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string, named boolean")
     assert filter_urls(pages.limit(0), rules).count() == 0
     assert tuple(filter_urls(pages, rules.limit(0)).first()) == (1, "a.net", "/", None, "allow")
+
+
+def test_the_list_is_an_input(spark, sf, tmp_path):
+    """Listed under every top-level domain, the junk hosts of each table are blocked where no rule decides."""
+    path = os.path.join(os.path.dirname(queries.__file__), "url_list.txt")
+    spark.conf.set(queries.URL_LIST_PATH, path)
+    try:
+        for at, n in ((sf, 1), (sf.replace("0.001", "0.01"), 13), (sf.replace("0.001", "0.1"), 107)):
+            rows = queries.op3_url_filter(spark, at).filter("rule is null and host rlike '(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.]'").collect()
+            assert [r["verdict"] for r in rows] == ["block"] * n
+        own = tmp_path / "list.txt"
+        own.write_text("# nothing\n\nExample.org/en/ # a path\nthther.example.com\n")
+        spark.conf.set(queries.URL_LIST_PATH, str(own))
+        for r in queries.op3_url_filter(spark, sf).filter("rule is null").collect():
+            assert (r["verdict"] == "block") == (r["host"].endswith("example.org") and r["path"].startswith("/en/") or r["host"] == "thther.example.com")
+    finally:
+        spark.conf.unset(queries.URL_LIST_PATH)
