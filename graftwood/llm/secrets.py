@@ -26,7 +26,6 @@ KINDS = ("assign", "access", "hex", "lex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CUE = re.compile(r"pass(?:w|phrase)|pwd|secret|token|key|cred|auth|private|sign|cookie|session", re.I)
 
 _STRING = r"'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _PAIR = re.compile(
@@ -47,7 +46,6 @@ class SecretScan:
     least: int = 8
     entropy: float = 2.5
     score: float = 1.0
-    hops: int = 16
 
 
 def name_weight(name: str) -> float:
@@ -85,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def lexed_spans(text: str, p: SecretScan = SecretScan()) -> list[tuple[int, int]]:
     """Spans of the literals whose value reaches a sensitive name."""
-    if not _CUE.search(text):
+    if "=" not in text and ":" not in text:
         return []
     literals: list[tuple[int, int, str, bool]] = []
     holds: dict[str, set[int]] = {}  # name -> literals bound to it
@@ -106,28 +104,24 @@ def lexed_spans(text: str, p: SecretScan = SecretScan()) -> list[tuple[int, int]
                 if len(parts) == 1:
                     holds.setdefault(name, set()).add(len(literals))
                     literals.append((at + part.start(), at + part.start() + len(bare), bare, False))
-    # constants travel from the name that holds them to the names that take its value
-    reach: dict[str, set[int]] = {n: set(v) for n, v in holds.items()}
+    # constants travel to the names that take their value: walked back from the sensitive names, over chains of any length
     short = {n.rsplit(".", 1)[-1]: n for n in holds}
-    for _ in range(p.hops):
-        moved = False
-        for name, sources in flows.items():
-            own = reach.setdefault(name, set())
-            for s in sources:
-                src = s if s in reach else short.get(s.rsplit(".", 1)[-1])
-                if src is not None and src != name and not reach[src] <= own:
-                    own |= reach[src]
-                    moved = True
-        if not moved:
-            break
     found = set()
-    for name, ids in reach.items():
-        weight = name_weight(name)
-        if weight:
-            for i in ids:
+    weights = {n: name_weight(n) for n in holds.keys() | flows.keys()}
+    for weight in set(weights.values()) - {0.0}:
+        todo = [n for n, w in weights.items() if w == weight]
+        met = set(todo)
+        while todo:
+            name = todo.pop()
+            for i in holds.get(name, ()):
                 start, end, value, quoted = literals[i]
                 if weight * literal_weight(value, quoted, p) >= p.score * 0.75:
                     found.add((start, end))
+            for s in flows.get(name, ()):
+                src = s if s in weights else short.get(s.rsplit(".", 1)[-1])
+                if src is not None and src not in met:
+                    met.add(src)
+                    todo.append(src)
     return sorted(found)
 
 

@@ -79,3 +79,17 @@ def test_edges(edges):
     rows = scan(edges).collect()
     assert len(rows) == edges.count() and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
     assert scan(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["pass_word", "pass-word", "pass.word", "pass_phrase", "salt", "bearer"])
+def test_every_name_counts_without_another_cue(name):
+    assert lexed_spans(f'{name} = "{KEY}"')
+
+
+@pytest.mark.parametrize("n", [20, 5000])
+def test_constants_travel_over_chains_of_any_length(n):
+    names = ["n" + str(k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(n + 1)]
+    links = "\n".join(f"{a} = {b}" for a, b in zip(names, names[1:], strict=False))
+    for text in (f'passphrase = {names[0]}\n{links}\n{names[-1]} = "{KEY}"', f'{names[-1]} = "{KEY}"\n{links}\npassphrase = {names[0]}'):
+        at = text.index(KEY)
+        assert (at, at + len(KEY)) in lexed_spans(text)
