@@ -12,7 +12,11 @@ from collections.abc import Callable
 from ..functions.replies import extract_json, message_text
 from .base import Answer
 
-TRIES, FIRST_PAUSE, TIMEOUT, JSON_TRIES = 5, 3.0, 300.0, 3
+# Fixed values, kept for compatibility: tries of a request, seconds before the second one, seconds until one is given up, and how often a reply is asked for that is JSON.
+TRIES = 5
+FIRST_PAUSE = 3.0
+TIMEOUT = 300.0
+JSON_TRIES = 3
 _FIX = "That was not valid JSON. Answer again with nothing but the JSON value."
 
 

@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--max-in-flight", type=int, default=int(os.environ.get("GRAFTWOOD_MAX_IN_FLIGHT", d.max_in_flight)))
     run.add_argument("--json-mode", action="store_true", default=None)
     run.add_argument("--parallel-tool-calls", action="store_true", default=None)
+    run.add_argument("--token-ranks", help="ranks file of a public tokenizer, for exact token counts")
     run.add_argument("--offline", action="store_true", help="patterns instead of a model")
     run.add_argument("--verbose", "-v", action="store_true")
     return p
@@ -41,9 +42,22 @@ def config_of(args: argparse.Namespace) -> CompareConfig:
     given = frozenset(k for k, v in (("use_json_mode", args.json_mode), ("parallel_tool_calls", args.parallel_tool_calls)) if v)
     languages = frozenset(t.strip() for t in (args.lang or "").split(",") if t.strip())
     config = CompareConfig(
-        args.api_key, args.base_url, args.rps, args.threshold, 10_000, args.model, args.format, args.output, args.output_dir, languages,
-        args.shallow, args.match_batch_size, args.max_in_flight, bool(args.json_mode), bool(args.parallel_tool_calls),
-    )
+        languages=languages,
+        model=args.model,
+        base_url=args.base_url,
+        api_key=args.api_key,
+        rps=args.rps,
+        max_in_flight=args.max_in_flight,
+        use_json_mode=bool(args.json_mode),
+        parallel_tool_calls=bool(args.parallel_tool_calls),
+        token_ranks=args.token_ranks,
+        match_batch_size=args.match_batch_size,
+        shallow=args.shallow,
+        similarity_threshold=args.threshold,
+        output_dir=args.output_dir,
+        output_path=args.output,
+        output_format=args.format,
+    )
     return with_env(config, load_env_file(), given)
 
 
@@ -52,6 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     config = config_of(args)
     from .backends import HttpBackend, OfflineBackend
+    from .functions.tokenizers import tokenizer_of
     from .plans.compare import Comparison
 
     if args.offline:
@@ -64,7 +79,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         # speculation would send requests twice
         session = spark or SparkSession.builder.appName("graftwood").config("spark.speculation", "false").getOrCreate()
-        Comparison(session, config, make).run(args.repo_a, args.repo_b)
+        Comparison(session, config, make, tokenizer_of(config.token_ranks)).run(args.repo_a, args.repo_b)
     except Exception as e:
         logging.error("%s", e, exc_info=args.verbose)
         return 1
