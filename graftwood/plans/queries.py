@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +13,7 @@ from ..operators import comparing, matching, scan, summaries, tree
 from ..schema import DIMENSIONS
 from ..sources.corpus import files_of_documents, files_of_pages
 from ..sources.tree import IgnoreRules
+from ..streaming.workspace import materialize
 
 MODEL, THRESHOLD = "gpt-4o-mini", 20
 RULES = IgnoreRules.parse("# comment\nsrc3/\n*7.py\n?1.js\n1[0-4]*.go\n")
@@ -33,14 +31,7 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cut(spark: SparkSession):
     """Writes a table into the shared folder and reads it back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graftwood-{os.getpid()}"
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{base}/queries/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return cut
+    return lambda df: materialize(df, "query")
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
