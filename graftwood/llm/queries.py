@@ -6,6 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown_lm import score as brown_score
+from .cotrain import score as quality_score
+from .decontaminate import contaminated
+from .exact_dedup import exact_duplicates
+from .html_text import extract
+from .near_dedup import NearDedup, near_duplicates
+from .packing import pack
+from .pii import pseudonymise
+from .secrets import scan
+from .url_filter import filter_urls, listing
+
 #: Session setting with the key of the pseudonyms; a deployment sets its own.
 PII_KEY = "spark.graftwood.pii.key"
 PII_KEY_UNSET = "graftwood-development-key"
@@ -22,20 +33,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .brown_lm import score
-
-    return score(_table(spark, sf_dir, "documents"))
+    return brown_score(_table(spark, sf_dir, "documents"))
 
 
 def op2_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import exact_duplicates
-
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import filter_urls, listing
-
     path = spark.conf.get(URL_LIST_PATH, "")
     urls = spark.read.text(path).toDF("url") if path else spark.sql(f"SELECT * FROM VALUES {', '.join(f"('{u}')" for u in URL_LIST)} AS t(url)")
     rows = [f"('{h}', '{p}', '{v}', true)" for v, h, p in URL_RULES]
@@ -44,44 +49,30 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
-
     return pack(_table(spark, sf_dir, "documents"))
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymise
-
     return pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_KEY_UNSET))
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contaminated
-
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dedup import NearDedup, near_duplicates
-
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDedup(shingle=3, num=85, den=100, bands=25))
 
 
 def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .cotrain import score
-
-    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .html_text import extract
-
     return extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import scan
-
     return scan(_table(spark, sf_dir, "documents"))
 
 

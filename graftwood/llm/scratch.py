@@ -1,36 +1,7 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables of the operators: written to the shared folder and read back."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from ..streaming.workspace import materialize, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-_CHECKPOINT = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    configured = spark.conf.get(_CHECKPOINT, None)
-    if configured:
-        return configured.rstrip("/")
-    if "dir" not in _own:
-        held = tempfile.TemporaryDirectory(prefix="graftwood-")
-        atexit.register(held.cleanup)
-        _own["dir"] = f"file://{held.name}"
-    return _own["dir"]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts lineage, survives the loss of any executor and keeps later branches
-    from computing the same rows twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graftwood/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "shared_dir"]
