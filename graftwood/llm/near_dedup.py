@@ -4,14 +4,19 @@
 2. Band keys of MinHash signatures bring candidates together.  Inside a bucket,
    signatures are compared batch by batch; a pair is given up once the posterior
    chance that its similarity reaches the threshold is below ``miss``.  Only a
-   spanning forest of the surviving pairs leaves a bucket, so a bucket of m
-   members yields at most m - 1 rows a block.
-3. Clusters of surviving pairs gather the whole texts of their members once, and
-   every pair of a cluster that isn't connected yet is held against the full sets.
+   spanning forest of the surviving pairs leaves a bucket.
+3. Clusters of surviving pairs gather the whole texts of their members, and every
+   pair of a cluster that isn't connected yet is held against the full sets.  The
+   sets are those of the words themselves, not of their hashes.
 4. Connected components of the verified links give the result.
 
-Large buckets and clusters are cut into blocks of bounded size, and each pair of
-blocks is one unit of work, so no task holds an unbounded group.
+Large buckets and clusters are cut into blocks of bounded size.  In a first turn
+each member goes to its own block, and the group's *pivot* (its least id) to all of
+them; what reaches the pivot, in one block or another, is connected.  Only the
+members that don't are *loose*, and only these meet the other blocks in a second
+turn.  Jaccard distance is a metric, so a loose text whose distance to the pivot
+differs from another's by more than the threshold allows can't be linked with it,
+and the two don't meet.  So a group of copies, however large, moves once.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -155,14 +160,10 @@ def _find(parent: list[int], x: int) -> int:
 
 
 def _pairs_of(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
-    """For each member, the range of the others it meets: within one block all later ones, between two blocks those of the other."""
-    if rows[0]["bi"] == rows[0]["bj"]:
-        for i in range(len(rows) - 1):
-            yield i, i + 1, len(rows)
-    else:
-        n = sum(r["side"] == 0 for r in rows)
-        for i in range(n):
-            yield i, n, len(rows)
+    """For each member, the range of the others it meets: all later ones, or, if there are loose ones (side 0) in front, those behind them too but no others."""
+    loose = sum(r["side"] == 0 for r in rows)
+    for i in range(loose or len(rows) - 1):
+        yield i, i + 1, len(rows)
 
 
 def _forest(ids: list[int], parent: list[int]) -> Iterator[tuple[int, int]]:
@@ -172,20 +173,47 @@ def _forest(ids: list[int], parent: list[int]) -> Iterator[tuple[int, int]]:
             yield ids[i], ids[root]
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["src", "dst"])
+def _start(rows: list[dict]) -> list[int]:
+    """Parents: rows of one id or one label are connected already."""
+    first: dict = {}
+    parent = list(range(len(rows)))
+    for i, r in enumerate(rows):
+        at = first.setdefault(("label", r["label"]) if r.get("label") is not None else r["id"], i)
+        parent[i] = at
+    return parent
 
 
-def _bucket_edges(p: NearDedup):
+_MET = "src long, dst long, loose boolean, key long, near double"
+
+
+def _met(edges: list[tuple[int, int]], loose: list[tuple[int, int, float | None]]) -> pa.RecordBatch:
+    """Edges, and rows of members: (id, group, distance to the pivot) of those that a second turn needs."""
+    n, m = len(edges), len(loose)
+    return pa.record_batch(
+        [
+            pa.array([a for a, _ in edges] + [a for a, _, _ in loose], pa.int64()),
+            pa.array([b for _, b in edges] + [None] * m, pa.int64()),
+            pa.array([False] * n + [True] * m, pa.bool_()),
+            pa.array([None] * n + [k for _, k, _ in loose], pa.int64()),
+            pa.array([None] * n + [d for _, _, d in loose], pa.float64()),
+        ],
+        names=["src", "dst", "loose", "key", "near"],
+    )
+
+
+def _bucket_edges(p: NearDedup, key: tuple[str, ...]):
     steps = p.least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for rows in _groups(batches, ("key", "bi", "bj")):
+        loose: list[tuple[int, int, float | None]] = []
+        for rows in _groups(batches, key):
+            if len(key) > 2 and rows[0]["side"] == 1:  # second turn: no loose rows here
+                continue
             ids = [r["id"] for r in rows]
             sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
-            parent = list(range(len(rows)))
-            root = np.arange(len(rows))
+            parent = _start(rows)
+            root = np.array([_find(parent, i) for i in range(len(rows))])
             for i, lo, hi in _pairs_of(rows):
                 alive = lo + np.flatnonzero(root[lo:hi] != root[i])
                 equal, at = np.zeros(len(alive), np.int64), 0
@@ -201,19 +229,47 @@ def _bucket_edges(p: NearDedup):
                         parent[b] = a
                         root[root == b] = a
             out += _forest(ids, parent)
-            if len(out) > 50_000:
-                yield _edges(out)
-                out = []
-        yield _edges(out)
+            if rows[0]["nb"] > 1 and rows[0]["side"] == 1:  # the pivot comes first
+                loose += [(ids[i], rows[0]["key"], None) for i in range(1, len(rows)) if root[i] != root[0]]
+            if len(out) + len(loose) > 50_000:
+                yield _met(out, loose)
+                out, loose = [], []
+        yield _met(out, loose)
 
     return run
 
 
-def _verified_edges(p: NearDedup):
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Sets of the k-word shingles of each text, numbered alike in all of them only if their words are the same."""
+    words = Words([x.lower() for x in texts])
+    ids = words.exact()
+    width = int(ids.max(initial=0)) + 1
+    at = ids
+    for i in range(1, k):
+        if len(ids) <= i:
+            at = np.empty(0, np.int64)
+            break
+        _, at = np.unique(at[:-1] * width + ids[i:], return_inverse=True)
+    ends = np.cumsum(words.counts)
+    short: dict[bytes, int] = {}
+    out = []
+    for to, n in zip(ends.tolist(), words.counts.tolist(), strict=True):
+        if n >= k:
+            out.append(np.unique(at[to - n : to - k + 1]))
+        elif n:
+            out.append(np.array([len(ids) + short.setdefault(ids[to - n : to].tobytes(), len(short))]))
+        else:
+            out.append(np.empty(0, np.int64))
+    return out
+
+
+def _verified_edges(p: NearDedup, key: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ("key", "bi", "bj")):
+        for rows in _groups(batches, key):
+            if len(key) > 2 and rows[0]["side"] == 1:  # second turn: no loose rows here
+                continue
             ids = [r["id"] for r in rows]
-            sets = shingle_sets([(r["text"] or "").encode() for r in rows], p.shingle)
+            sets = exact_sets([(r["text"] or "").encode() for r in rows], p.shingle)
             sizes = [len(s) for s in sets]
             _, local = np.unique(np.concatenate(sets), return_inverse=True)
             width = int(local.max(initial=0)) + 1
@@ -223,7 +279,7 @@ def _verified_edges(p: NearDedup):
                 flags[local[at : at + n]] = 1
                 bits.append(int.from_bytes(np.packbits(flags).tobytes(), "big"))
                 at += n
-            parent = list(range(len(rows)))
+            parent = _start(rows)
             for i, lo, hi in _pairs_of(rows):
                 for j in range(lo, hi):
                     if p.den * min(sizes[i], sizes[j]) < p.num * max(sizes[i], sizes[j]):
@@ -234,23 +290,105 @@ def _verified_edges(p: NearDedup):
                     both = (bits[i] & bits[j]).bit_count()
                     if p.den * both >= p.num * (sizes[i] + sizes[j] - both):
                         parent[max(a, b)] = min(a, b)
-            yield _edges(list(_forest(ids, parent)))
+            members = []
+            if rows[0]["nb"] > 1 and rows[0]["side"] == 1:
+                for i in range(len(rows)):
+                    both = (bits[0] & bits[i]).bit_count()
+                    members.append((ids[i], rows[0]["key"], 1 - both / max(1, sizes[0] + sizes[i] - both)))
+            yield _met(list(_forest(ids, parent)), members)
 
     return run
 
 
-def _blocked(df: DataFrame, blocks: Column) -> DataFrame:
-    """Rows with key, id, replicated to the pairs of blocks (bi <= bj) that their block takes part in."""
-    mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("__nb"))
-    return (
-        df.withColumn("__nb", blocks.cast("long"))
-        .withColumn("__b", mine)
-        .withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1)))
-        .withColumn("bi", F.least("__b", "__o"))
-        .withColumn("bj", F.greatest("__b", "__o"))
-        .withColumn("side", F.when(F.col("__b") == F.col("bi"), 0).otherwise(1))
-        .drop("__nb", "__b", "__o")
-    )
+def _own_block(df: DataFrame) -> DataFrame:
+    """First turn: ``df`` (key, id, nb, pivot, tie: order of rows with one id, ...) with the block of each row; the pivot's rows go to every block."""
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)
+    return df.withColumn("side", F.lit(1)).withColumn("b", F.explode(F.when(F.col("id") == F.col("pivot"), every).otherwise(F.array(own)))).withColumn("__far", F.col("id") != F.col("pivot"))
+
+
+def _run_first(df: DataFrame, make, name: str) -> DataFrame:
+    key = ["key", "b"]
+    return materialize(_own_block(df).repartition(*key).sortWithinPartitions(*key, "__far", "id", "tie").mapInArrow(make(tuple(key)), _MET), name)
+
+
+def _run_second(loose: DataFrame, every: DataFrame, make, each: int) -> DataFrame:
+    """Second turn.  ``loose``: key, band, id, ...; ``every``: key, id, nb, bands (those of the loose rows that it may link with), ...
+
+    Loose rows of one group and band are dealt into blocks of ``each``, and each of
+    these meets the blocks of the group's other members.
+    """
+    counts = materialize(loose.groupBy("key", "band").agg(F.ceil(F.count("*") / each).cast("long").alias("nl")), "near-loose-blocks")
+    span = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    left = loose.join(counts, ["key", "band"]).withColumn("bi", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nl"))).withColumn("bj", F.explode(span("nb"))).withColumn("side", F.lit(0)).drop("nl")
+    right = every.withColumn("band", F.explode("bands")).drop("bands").join(counts, ["key", "band"])
+    right = right.withColumn("bi", F.explode(span("nl"))).withColumn("bj", F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb"))).withColumn("side", F.lit(1)).drop("nl")
+    key = ["key", "band", "bi", "bj"]
+    met = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side", "id")
+    return met.mapInArrow(make(tuple(key)), _MET).filter("not loose").select("src", "dst")
+
+
+def _candidates(first: DataFrame, p: NearDedup) -> DataFrame:
+    """Edges (src, dst) of a spanning forest of the pairs that survive in their buckets.  ``first``: id, sig, bands."""
+    keys = first.select("id", F.explode("bands").alias("key"))
+    many = keys.groupBy("key").agg(F.count("*").alias("__m"), F.min("id").alias("pivot")).filter("__m > 1")
+    members = keys.join(many, "key").join(first.select("id", "sig"), "id").withColumn("nb", F.ceil(F.col("__m") / p.bucket_block).cast("long")).drop("__m").withColumn("tie", F.lit(0).cast("long"))
+    make = lambda key: _bucket_edges(p, key)
+    met = _run_first(members, make, "near-met")
+    edges = met.filter("not loose").select("src", "dst")
+    loose = met.filter("loose").select("key", F.col("src").alias("id")).distinct()
+    if loose.isEmpty():
+        return edges
+    open_keys = loose.select("key").distinct()
+    every = members.join(open_keys, "key", "left_semi").select("key", "id", "nb", "sig", F.array(F.lit(0)).alias("bands"))
+    every = materialize(every, "near-open")
+    left = every.join(loose, ["key", "id"], "left_semi").drop("bands").withColumn("band", F.lit(0))
+    return edges.union(_run_second(left, every, make, p.bucket_block))
+
+
+def _texts_of(base: DataFrame, plan: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
+    """``plan`` with the texts of its ids.  A row that repeats an id and a text comes once, so that repeated rows can't heap up in a block."""
+    few = plan.count() <= p.broadcast_rows
+    wanted = base.filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(F.broadcast(plan) if few else plan, "id")
+    again = sigs.groupBy(F.col("doc_id").alias("id"), "set_key").agg(F.count("*").alias("n")).filter("n > 1").select("id").distinct().join(plan.select("id"), "id", "left_semi")
+    again = materialize(again, "near-repeated")
+    if again.isEmpty():
+        return wanted
+    cols = wanted.columns
+    marked = wanted.join(again.withColumn("__again", F.lit(True)), "id", "left")
+    rest = [c for c in cols if c not in ("id", "text")]
+    once = marked.filter("__again").groupBy("id", F.sha2("text", 256).alias("__t")).agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in rest)).select(*cols)
+    return marked.filter("__again is null").select(*cols).union(once)
+
+
+def _links(clusters: DataFrame, first: DataFrame, sigs: DataFrame, base: DataFrame, p: NearDedup) -> DataFrame:
+    """Edges (src, dst) of verified links that connect what ``clusters`` (id, component) hold together."""
+    size = F.struct(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    sizes = clusters.join(first.select("id", "n_shingles"), "id").groupBy("component").agg(size.alias("__s"))
+    blocks = F.greatest(F.ceil(F.col("__s.m") / p.cluster_block), F.ceil(F.col("__s.s") / p.cluster_shingles)).cast("long")
+    plan = materialize(clusters.join(sizes, "component").select("id", F.col("component").alias("key"), blocks.alias("nb"), F.col("component").alias("pivot")), "near-plan")
+    make = lambda key: _verified_edges(p, key)
+    met = _run_first(_texts_of(base, plan, sigs, p).withColumn("label", F.lit(None).cast("long")).withColumn("tie", F.xxhash64("text")), make, "near-verified")
+    edges = met.filter("not loose").select("src", "dst")
+    members = met.filter("loose").groupBy("key", F.col("src").alias("id")).agg(F.min("near").alias("near"), F.max("near").alias("far"))
+    if members.isEmpty():
+        return edges
+    # which members of the large clusters are connected, and to the pivot
+    found = connected_components(edges, "near-first")
+    members = materialize(members.join(found, "id", "left").select("id", "key", "near", "far", F.coalesce("component", "id").alias("label")), "near-members")
+    loose = members.filter("label <> key")
+    if loose.isEmpty():
+        return edges
+    # distances to the pivot differ by 1 - threshold at most between texts that may be linked; bands of a twentieth, one more for rounding
+    reach = 1 - p.num / p.den + 1e-9
+    lo, hi = F.floor((F.col("near") - reach) * 20).cast("int"), F.floor((F.col("far") + reach) * 20).cast("int")
+    kept = loose.withColumn("band", F.explode(F.sequence(F.floor(F.col("near") * 20).cast("int"), F.floor(F.col("far") * 20).cast("int"))))
+    bands = kept.groupBy("key").agg(F.collect_set("band").alias("all"))
+    open_plan = members.join(bands, "key").withColumn("bands", F.filter("all", lambda x: x.between(lo, hi))).filter(F.size("bands") > 0)
+    open_plan = materialize(open_plan.join(plan.select("id", "nb"), "id").select("id", "key", "nb", "label", "bands"), "near-open")
+    every = _texts_of(base, open_plan, sigs, p).select("key", "id", "nb", "label", "text", "bands")
+    left = every.drop("bands").join(kept.select("key", "id", "band"), ["key", "id"])
+    return edges.union(_run_second(left, every, make, p.cluster_block))
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,22 +407,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     # one row per distinct set: the signature travels with the smallest id
     first = nodes.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig", "bands"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.sig").alias("sig"), F.col("r.bands").alias("bands"))
     first = materialize(first, "near-distinct")
-    keys = first.select("id", F.explode("bands").alias("key"))
-    many = keys.groupBy("key").agg(F.count("*").alias("__m")).filter("__m > 1")
-    members = keys.join(many, "key").join(first.select("id", "sig"), "id")
-    blocked = _blocked(members, F.ceil(F.col("__m") / p.bucket_block)).select("key", "bi", "bj", "side", "id", "sig")
-    edges = blocked.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "side", "id").mapInArrow(_bucket_edges(p), "src long, dst long")
-    clusters = connected_components(edges, "near-clusters")  # id, component
-
-    sized = clusters.join(first.select("id", "n_shingles"), "id")
-    sizes = sized.groupBy("component").agg(F.count("*").alias("__m"), F.sum("n_shingles").alias("__s"))
-    plan = materialize(clusters.join(sizes, "component"), "near-plan")
-    few = plan.count() <= p.broadcast_rows
-    wanted = base.filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(F.broadcast(plan) if few else plan, "id")
-    blocks = F.greatest(F.ceil(F.col("__m") / p.cluster_block), F.ceil(F.col("__s") / p.cluster_shingles))
-    work = _blocked(wanted.withColumnRenamed("component", "key"), blocks).select("key", "bi", "bj", "side", "id", "text")
-    links = work.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "side", "id").mapInArrow(_verified_edges(p), "src long, dst long")
-    found = connected_components(links, "near-links")
+    clusters = connected_components(_candidates(first, p), "near-clusters")  # id, component
+    found = connected_components(_links(clusters, first, sigs, base, p), "near-links")
 
     # every node: document -> smallest id of its set -> smallest id of the component
     named = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))

@@ -1,9 +1,10 @@
 """Vectorised tokenising and hashing of whole texts with numpy.
 
-Words are maximal runs of bytes outside a separator set.  A word's hash is a
-polynomial over its bytes modulo 2**64, taken for all words of a buffer at once
-from one running sum, then mixed.  Two words of a corpus of a billion distinct
-words share a hash with a chance of about 3 %.
+Words are maximal runs of bytes outside a separator set.  A word's hash takes its
+length and its bytes, eight at a time, each eight through two multiplications and
+shifts, so that no sum of bytes cancels another; words of over 64 bytes are hashed
+by XXH3.  Words of one length of up to eight bytes never share a hash; of a
+billion distinct longer ones, two do with a chance of about 3 %.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed at once; bounds the temporary arrays (about 40 bytes a byte).
 CHUNK = 1 << 20
@@ -22,20 +24,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NON_LETTER = np.ones(256, bool)
 NON_LETTER[[*range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = False
 
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 4096)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[name] = have = np.multiply.accumulate(have)
-    return have[:n]
+_MASK = np.array([(1 << 8 * r) - 1 for r in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,24 +39,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _hash_piece(buf: np.ndarray, cuts: np.ndarray, sep: np.ndarray):
-    """Hashes, starts and ends of the words of ``buf``; no word crosses a position in ``cuts``."""
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on as one number; zeros follow the end."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def _bounds(buf: np.ndarray, cuts: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``buf``; no word crosses a position in ``cuts``."""
     n = len(buf)
     word = ~sep[buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]
     before[cuts] = False
-    starts = np.flatnonzero(word & ~before)
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = word[1:]
     after[cuts[cuts > 0] - 1] = False
-    ends = np.flatnonzero(word & ~after) + 1
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power(_P, n, "p"), out=run[1:])
-    h = (run[ends] - run[starts]) * _power(_PINV, n, "i")[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+
+
+def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+    eights = _eights(buf)
+    some = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(some):
+        x = eights[starts[some] + at] & _MASK[np.minimum(size[some] - at, 8)]
+        h[some] = mix(h[some] ^ mix(x + np.uint64(0xA0761D6478BD642F)))
+        at += 8
+        some = some[size[some] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]], 20240607)
+    return h
 
 
 class Words:
@@ -88,8 +96,8 @@ class Words:
                     break
                 to = min(to + CHUNK, len(buf))
             inside = offsets[(offsets >= at) & (offsets < to)] - at
-            h, s, e = _hash_piece(buf[at:to], inside, sep)
-            hs.append(h)
+            s, e = _bounds(buf[at:to], inside, sep)
+            hs.append(_hash_words(buf[at:to], s, e))
             ss.append(s + at)
             es.append(e + at)
             at = to
@@ -98,6 +106,28 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self._buf, self._starts, self._ends = buf, starts, ends
 
+    def exact(self) -> np.ndarray:
+        """A number for each word, the same for two words only if their bytes are the same."""
+        _, first, ids = np.unique(self.h, return_index=True, return_inverse=True)
+        model = first[ids]
+        size = self._ends - self._starts
+        same = size == size[model]
+        eights = _eights(self._buf)
+        some = np.flatnonzero(same & (size <= _LONG) & (model != np.arange(len(ids))))
+        at = 0
+        while len(some):
+            mask = _MASK[np.minimum(size[some] - at, 8)]
+            same[some] &= ((eights[self._starts[some] + at] ^ eights[self._starts[model[some]] + at]) & mask) == 0
+            at += 8
+            some = some[size[some] > at]
+        for k in np.flatnonzero(same & (size > _LONG)).tolist():
+            m = model[k]
+            same[k] = np.array_equal(self._buf[self._starts[k] : self._ends[k]], self._buf[self._starts[m] : self._ends[m]])
+        known: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same).tolist():  # words that share a hash with another word
+            ids[k] = known.setdefault(self._buf[self._starts[k] : self._ends[k]].tobytes(), len(first) + len(known))
+        return ids.astype(np.int64)
+
     def last(self) -> np.ndarray:
         """The last three bytes of each word as one number; missing bytes are 0."""
         out = np.zeros(len(self._ends), np.int64)

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from graftwood.llm.near_dedup import NearDedup, near_duplicates
+from graftwood.llm import near_dedup
+from graftwood.llm.near_dedup import NearDedup, exact_sets, near_duplicates
 
 
 def brute(rows, words, k, num, den):
@@ -56,6 +58,55 @@ def test_large_groups_chains_and_near_misses(spark, words, p):
     assert shown(near_duplicates(df, p)) == brute(rows, words, p.shingle, p.num, p.den)
 
 
+def test_large_groups_with_loose_members(spark, words):
+    """Clusters of many blocks whose members link with each other but not with the pivot."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    rows = [(k, " ".join(base[k * 7 : k * 7 + 100])) for k in range(30)]  # a chain: the pivot reaches few
+    rows += [(50 + k, " ".join([*base[:80], *(f"x{k}y{j}" for j in range(17 + k % 6))])) for k in range(40)]  # around the threshold
+    rows += [(100 + k, " ".join(base[100:200])) for k in range(20)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for p in (NearDedup(bucket_block=5, cluster_block=4), NearDedup(shingle=3, num=85, bucket_block=3, cluster_block=7, cluster_shingles=900)):
+        assert shown(near_duplicates(df, p)) == brute(rows, words, p.shingle, p.num, p.den)
+
+
+def test_words_that_collide_under_sums(spark, words):
+    """Thue-Morse words have equal sums of powers; they, and texts made of them, must not count as equal."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    a, b = ("".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits))
+    rows = [(1, a), (2, b), (3, f"{a} {b} {a}"), (4, f"{b} {a} {b}"), (5, a.upper())]
+    got = shown(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NearDedup()))
+    assert got == brute(rows, words, 5, 80, 100) and got[5] == (1, 1) and got[2] == (1, 2)
+
+
+def test_sets_of_real_shingles(words):
+    texts = ["a b c a b c a", "A b c", "b c a b c", "", "c", "x" * 100 + " b c", "x" * 99 + "y b c"]
+    sets = exact_sets([t.encode() for t in texts], 3)
+    want = [frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if (w := words(t)) else frozenset() for t in texts]
+    for x, p in zip(sets, want, strict=True):
+        assert len(x) == len(p)
+        for y, q in zip(sets, want, strict=True):
+            assert len(np.intersect1d(x, y)) == len(p & q)
+
+
+def test_a_group_moves_once(spark):
+    """Copies that reach their pivot aren't met by other blocks: no second turn, whatever the size of the group."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(300)]
+    seen = []
+    keep = near_dedup._run_second
+    near_dedup._run_second = lambda *a: seen.append(a) or keep(*a)
+    try:
+        got = shown(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), NearDedup(bucket_block=20, cluster_block=10)))
+    finally:
+        near_dedup._run_second = keep
+    assert not seen and set(got.values()) == {(197, 0)}
+
+
 def test_pruning_bounds():
     p = NearDedup()
     steps = p.least_matches()
