@@ -1,12 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags.  Pass one decides what it can:
-blocks inside menus, page headers and footers, sidebars, notices, adverts, forms
-and reader comments (known by tag, role, class or id) are boilerplate, and so are
-blocks that are mostly links; long blocks with enough stop words are text.
-Everything else stays open, above all short blocks.  Pass two lets each open block
-inherit the label of the nearest decided block of its own section; inside an
-article a tie, or no decided block at all, counts as text.
+A page is cut into blocks at block-level tags, with the implied ends of HTML.  Pass
+one decides what it can, by length, stop-word density and link density: long blocks
+with enough stop words are text, blocks that are mostly links or long without stop
+words are boilerplate (inside an article the last kind stays open).  Pass two lets
+each open block inherit the label of the nearest decided block of its own section;
+inside an article a tie, or no decided block at all, counts as text.
+
+Before that, elements that say what they are leave the page: menus, footers,
+sidebars, adverts, notices, reader comments and the like, known by tag, role, class
+or id.  Names of a class that only tell a state or a layout (``has-sidebar``) or have
+unknown parts (``side-by-side``) count for nothing.  A header, form, sidebar or other
+mere part of a layout comes back if it holds the only article, or most of the
+page's prose.  Where articles hold most of the prose, nothing outside them is text.
+Every step is linear in the size of the page.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,177 +36,376 @@ STOP_WORDS = frozenset(
     "al como con cuando de del donde el ella en entre era es esta este esto fue ha hay la las lo los más me mi muy no nos o para pero por que se sin sobre son su sus también te un una uno y ya yo".split()
 )
 #: Elements whose content is never text.
-DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video textarea select option button form nav footer aside dialog menu label input fieldset".split())
+DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video textarea select option optgroup button nav footer aside dialog menu label input fieldset noframes noembed xmp".split())
 #: Of these, the content is read up to the closing tag, whatever it looks like.
-RAW = frozenset("script style textarea title noscript iframe template".split())
+RAW = frozenset("script style textarea title noscript iframe template noframes noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset(
-    "html body address article aside blockquote caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = HEADINGS | frozenset(
+    "html body address article aside blockquote caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset header hgroup hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|reply|replies|disqus|discussion|pagination|pager|toolbar|copyright|legal)(?:$|[\s_-]|\d)",
-    re.I,
+#: Elements that may stand in a head; any other one ends it.
+_IN_HEAD = frozenset("title meta link script style base noscript template".split())
+_CELLS, _ROWS, _GROUPS = frozenset({"td", "th"}), frozenset({"tr"}), frozenset({"tbody", "thead", "tfoot"})
+_TABLE = _CELLS | _ROWS | _GROUPS | {"table", "caption", "colgroup"}
+#: Blocks that end an open list item or definition looks through.
+_LOOSE = frozenset({"address", "div", "p"})
+
+# What class and id names say.  A name is cut into its words; STATES as the first word make it say nothing.
+STATES = frozenset("has no with without not".split())
+#: These say boilerplate whatever stands beside them.
+SURE = frozenset("adsbygoogle adsense adslot adbox adunit advert adverts advertising advertisement advertisements sponsored breadcrumb breadcrumbs navbar navigation pagination disqus cookie cookies gdpr newsletter masthead cookiebar".split())
+#: These only if every other word of the name is one of them too, or neutral.
+LIKELY = frozenset("ad ads nav menu pager toolbar sponsor sponsors promo promos share sharing sharebar social related recommended recommendations notice alert popup modal overlay consent subscribe signup login footer foot replies respond commenters".split())
+#: These, under the same condition, unless they hold the article or most of the prose.
+LAYOUT = frozenset("sidebar sidebars aside side header topbar widget widgets banner reply discussion legal copyright".split())
+NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower primary secondary global container wrapper wrap box block section area list bar form post posts entry entries article articles content contents inner outer link links item items "
+    "button buttons widget js wp fb google user users reader readers view thread news story stories more column col row panel group header text zone slot unit sticky fixed float floating mobile desktop media menu nav tools and the of for".split()
 )
+_WORDS_OF = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+#: A tag without values; the name and what follows it.
+_PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/][^<>\"'=]*+)?+)>")
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_GAP = re.compile(r"[\s/]*+")
+_ATTR = re.compile(r"[^\s/>][^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+_AFTER = frozenset(" \t\n\r\f/>")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
+FREE, PART, GONE = 0, 1, 2
+
 
 @dataclass(frozen=True)
 class BlockRules:
+    """``most``: how many times the prose elsewhere a part of the layout must hold to come back."""
+
     long: int = 70
     stop_high: float = 0.2
     stop_low: float = 0.08
     link_high: float = 0.5
+    most: float = 2.0
 
 
 @dataclass
 class Block:
+    """``kind`` and ``root``: what the elements around it (inside its article) say, and which one says it; ``outer``: what those around its article say."""
+
     text: str
     linked: int
-    dropped: bool
+    tag: str
     article: int  # number of the article that holds it; 0: none
+    kind: int
+    root: int
+    outer: int
     label: str = ""
+    prose: bool = False
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attrs.strip() or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        name = name.lower()
-        if name in ("class", "id") and _HINT.search(value) or name == "role" and value.strip().lower() in _ROLES or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs), re.I))
+@lru_cache(4096)
+def _named(names: str) -> int:
+    """What the names in a class or id say of an element."""
+    out = FREE
+    for name in names.split():
+        words = [w.lower() for w in _WORDS_OF.findall(name)]
+        if not words or words[0] in STATES:
+            continue
+        if any(w in SURE or w.startswith("comment") and w not in ("commented", "commentary") for w in words):
+            return GONE
+        known = LIKELY | LAYOUT | NEUTRAL
+        if not all(w in known for w in words):
+            continue
+        # the words that name the thing; "header" and the like in front of others only tell a place
+        if any(w in LIKELY for w in words):
+            return GONE
+        if any(w in LAYOUT for w in words):
+            out = PART
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
-    parts: list[str] = []
-    linked, links, article, seen, at = 0, 0, 0, 0, 0
-    dropped = False
-
-    def close() -> None:
-        nonlocal linked
-        if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if text:
-                out.append(Block(text, linked, dropped, article))
-            parts.clear()
-        linked = 0
+def _said(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    if tag in DROPPED:
+        return GONE
+    if tag in ("html", "body"):
+        return FREE
+    out = PART if tag == "form" or tag == "header" and not in_article else FREE
+    if not attrs:
+        return out
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or _NONE.search(attrs.get("style", "")):
+        return GONE
+    if attrs.get("role", "").strip().lower() in _ROLES:
+        return GONE
+    if tag not in ("article", "main") and tag not in HEADINGS:
+        for a in ("class", "id"):
+            if attrs.get(a):
+                # inside an article a part of its layout is a part of it, but for sidebars
+                kind = _named(attrs[a])
+                if kind == PART and in_article and "side" not in attrs[a].lower() and "widget" not in attrs[a].lower():
+                    kind = FREE
+                out = max(out, kind)
+    return out
 
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        if m[4] is not None:
-            if not dropped:
-                parts.append(m[4])
-                if links:
-                    linked += len(m[4].strip())
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag from behind its name on, and where the tag ends.
+
+    A quote that isn't closed, or whose closing is the opening of another one, ends
+    with its tag.
+    """
+    out: dict[str, str] = {}
+    n = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n:
+            return out, n
+        if page[at] == ">":
+            return out, at + 1
+        m = _ATTR.match(page, at)
+        name, at = m[0].lower(), m.end()
+        m = _EQUALS.match(page, at)
+        if not m:
+            out.setdefault(name, "")
             continue
-        if m[2] is None:
+        at = m.end()
+        quote = page[at : at + 1]
+        if quote not in ('"', "'"):
+            m = _BARE.match(page, at)
+            out.setdefault(name, m[0])
+            at = m.end()
             continue
-        tag, attrs = m[2].lower(), m[3]
-        if not m[1]:
+        to = page.find(quote, at + 1)
+        if to < 0 or page[to + 1 : to + 2] not in _AFTER and to + 1 < n:
+            gt = page.find(">", at + 1, to if to >= 0 else n)
+            if gt >= 0:
+                out.setdefault(name, page[at + 1 : gt])
+                return out, gt + 1
+            if to < 0:
+                return out, n
+        out.setdefault(name, page[at + 1 : to])
+        at = to + 1
+
+
+class _Reader:
+    """Open elements and finished blocks while a page is read."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        # tag, kind, root, article and outer before it opened
+        self.stack: list[tuple[str, int, int, int, int]] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.special: list[int] = []  # places of blocks that end the search for a list item
+        self.parts: list[str] = []
+        self.linked, self.link = 0, False
+        self.kind, self.root, self.article, self.outer = FREE, -1, 0, FREE
+        self.seen, self.roots = 0, 0
+        self.tag = ""
+
+    def text(self, piece: str) -> None:
+        if self.kind != GONE:
+            self.parts.append(piece)
+            if self.link:
+                self.linked += len(piece.strip())
+
+    def close(self) -> None:
+        if self.parts:
+            text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
+            if text:
+                self.out.append(Block(text, self.linked, self.tag, self.article, self.kind, self.root, self.outer))
+            self.parts = []
+        self.linked = 0
+
+    def push(self, tag: str, attrs: dict[str, str]) -> None:
+        block = tag in BLOCKS
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if block and tag not in _LOOSE:
+            self.special.append(len(self.stack))
+        self.stack.append((tag, self.kind, self.root, self.article, self.outer))
+        if self.kind != GONE:
+            said = _said(tag, attrs, self.article > 0)
+            if said > self.kind:
+                self.kind, self.root, self.roots = said, self.roots, self.roots + 1
+            holds = tag in ("article", "main") or attrs and (attrs.get("role", "").strip().lower() in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower())
+            if holds and self.kind != GONE and not self.article:
+                self.seen += 1
+                self.article, self.outer, self.kind, self.root = self.seen, self.kind, FREE, -1
+        if block:
+            self.tag = tag
+
+    def pop_to(self, place: int) -> None:
+        """End the element at ``place`` of the stack and all within."""
+        while len(self.stack) > place:
+            tag, kind, root, article, outer = self.stack.pop()
+            self.open[tag].pop()
+            if self.special and self.special[-1] == len(self.stack):
+                self.special.pop()
             if tag in BLOCKS:
-                close()
-            if tag == "br":
-                if not dropped:
-                    parts.append(" ")
-                continue
-            if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
-                continue
-            if tag == "p" and any(t == "p" for t, _, _ in stack[-3:]):  # a paragraph ends the one before
-                while stack.pop()[0] != "p":
-                    pass
-                dropped = stack[-1][1] if stack else False
-                links = 0
-            bad = dropped or _boilerplate(tag, attrs, article > 0)
-            if bad != dropped:
-                close()
-            if tag in ("article", "main") and not bad and not article:
-                seen += 1
-                stack.append((tag, bad, article))
-                article = seen
-            else:
-                stack.append((tag, bad, article))
-            dropped = bad
-            links += tag == "a" and not links
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
-                if end is None:
-                    at = len(page)
-                else:
-                    if tag not in DROPPED and not dropped:
-                        parts.append(page[at : end.start()])
-                    at = end.start()
-            continue
+                self.close()
+            elif tag == "a":
+                self.link = False
+            self.kind, self.root, self.article, self.outer = kind, root, article, outer
+
+    def last(self, *tags: str) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if self.open.get("head") and tag not in _IN_HEAD:
+            self.pop_to(self.open["head"][0])
         if tag in BLOCKS:
-            close()
+            self.close()
+            # implied ends
+            wall = self.last("td", "th", "table", "caption", "button", "object")
+            if (p := self.last("p")) > wall and tag not in ("html", "body"):
+                self.pop_to(p)
+            inner = self.stack[self.special[-1]][0] if self.special else ""
+            if tag == "li" and inner == "li" or tag in ("dd", "dt") and inner in ("dd", "dt"):
+                self.pop_to(self.special[-1])
+            table = self.last("table")
+            for group, ends in ((_CELLS, ("td", "th")), (_ROWS, ("tr",)), (_GROUPS, ("tbody", "thead", "tfoot"))):
+                if tag in group or tag in _ROWS and group is _CELLS or tag in _GROUPS and group is not _GROUPS:
+                    if (k := self.last(*ends)) > table:
+                        self.pop_to(k)
+        if tag == "br":
+            self.text(" ")
+        elif tag == "a" and self.last("a") > (self.special[-1] if self.special else -1):
+            self.pop_to(self.last("a"))
+        if tag in VOID or tag in ("html", "body"):
+            return
+        self.push(tag, attrs)
         if tag == "a":
-            links = 0
-        if any(t == tag for t, _, _ in stack):
-            while True:
-                t, bad, outer = stack.pop()
-                if t in ("article", "main"):
-                    if outer != article:
-                        close()
-                    article = outer
-                if t == tag:
-                    break
-            now = stack[-1][1] if stack else False
-            if now != dropped:
-                close()
-            dropped = now
-    close()
-    return out
+            self.link = True
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.close()
+        if tag == "a":
+            self.link = False
+        places = self.open.get(tag)
+        if not places:
+            return
+        if tag not in _TABLE and places[-1] < self.last("td", "th", "table", "caption"):
+            return  # an end inside a cell doesn't reach out of it
+        if tag not in BLOCKS and tag not in DROPPED and self.special and places[-1] < self.special[-1]:
+            return  # neither does that of a span out of a block
+        self.pop_to(places[-1])
+
+
+def blocks(page: str) -> list[Block]:
+    """Blocks with text that no element drops for good, in page order."""
+    r = _Reader()
+    at, n = 0, len(page)
+    ends: dict[str, re.Pattern] = {}
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            piece = page[at:lt]
+            if r.open.get("head") and len(r.stack) == r.open["head"][0] + 1 and piece.strip():
+                r.pop_to(r.open["head"][0])
+            r.text(piece)
+        if lt == n:
+            break
+        m = _PLAIN.match(page, lt)
+        if m:
+            at = m.end()
+            tag = m[2].lower()
+            attrs = dict.fromkeys(m[3].lower().replace("/", " ").split(), "") if m[3] else {}
+        elif m := _OPEN.match(page, lt):
+            tag = m[2].lower()
+            attrs, at = attributes(page, m.end())
+        else:
+            if page.startswith("<!--", lt):
+                to = page.find("-->", lt + 2)
+                at = n if to < 0 else to + 3
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                to = page.find(">", lt + 1)
+                at = n if to < 0 else to + 1
+            else:
+                r.text("<")
+                at = lt + 1
+            continue
+        if m[1]:
+            r.end(tag)
+            continue
+        r.start(tag, attrs)
+        if tag in RAW:
+            pattern = ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])", re.I))
+            to = pattern.search(page, at)
+            stop = to.start() if to else n
+            r.text(page[at:stop])
+            at = stop
+    r.pop_to(0)
+    r.close()
+    return r.out
 
 
 def classify(found: list[Block], rules: BlockRules = BlockRules()) -> list[Block]:
+    """Labels of the blocks: good or bad."""
+    stops, links, counts = [], [], []
     for b in found:
         words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        link = b.linked / max(1, len(b.text))
-        if b.dropped:
-            b.label = "bad"
-        elif link > rules.link_high:
-            b.label = "bad" if not b.article or len(words) > 2 else ""
-        elif len(b.text) >= rules.long and (stop >= rules.stop_high or b.article):
-            b.label = "good"
-        elif len(b.text) >= rules.long and stop < rules.stop_low and not b.article:
-            b.label = "bad"
-    decided = [(i, b) for i, b in enumerate(found) if b.label]
-    first = [b.label for b in found]
-    for i, b in enumerate(found):
-        if first[i]:
+        counts.append(len(words))
+        stops.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+        links.append(b.linked / max(1, len(b.text)))
+        b.prose = len(b.text) >= rules.long and stops[-1] >= rules.stop_low and links[-1] <= rules.link_high
+    # articles inside a part of the layout count if there are no others
+    clear = any(b.article and not b.outer for b in found)
+    # parts of the layout come back if they hold most of the prose
+    held: dict[int, int] = {}
+    free = 0
+    for b in found:
+        if b.prose and b.kind == PART:
+            held[b.root] = held.get(b.root, 0) + len(b.text)
+        elif b.prose and not (b.outer and clear):
+            free += len(b.text)
+    back = {root for root, size in held.items() if size > rules.most * free}
+    drop = [b.outer == PART and clear or b.kind == PART and b.root not in back for b in found]
+    inside = sum(len(b.text) for b, d in zip(found, drop, strict=True) if b.article and b.prose and not d)
+    outside = sum(len(b.text) for b, d in zip(found, drop, strict=True) if not b.article and b.prose and not d)
+    only = inside > outside
+    for k, b in enumerate(found):
+        if drop[k] or only and not b.article:
+            b.label, drop[k] = "bad", True
+        elif links[k] > rules.link_high:
+            if b.article and len(b.text) >= rules.long and stops[k] >= rules.stop_high:
+                b.label = "good"
+            elif not b.article or counts[k] > 2 and b.tag in ("li", "td", "ul", "ol"):
+                b.label = "bad"
+        elif len(b.text) >= rules.long:
+            if stops[k] >= (rules.stop_low if b.article else rules.stop_high):
+                b.label = "good"
+            elif stops[k] < rules.stop_low and not b.article:
+                b.label = "bad"
+    # what left the page decides nothing about its neighbours
+    first = ["" if d else b.label for b, d in zip(found, drop, strict=True)]
+    before, after = _nearest(found, first, 1), _nearest(found, first, -1)
+    articles = any(b.article for b in found)
+    for k, b in enumerate(found):
+        if b.label:
             continue
-        own = [(abs(i - j), d.label) for j, d in decided if d.article == b.article] if len(decided) < 64 else _near(i, b, found, first)
-        if not own:
-            b.label = "good" if b.article or not any(x.article for x in found) else "bad"
+        near = [(abs(k - j), first[j]) for j in (before[k], after[k]) if j >= 0]
+        if not near:
+            b.label = "good" if b.article or not articles else "bad"
             continue
-        least = min(d for d, _ in own)
-        labels = {x for d, x in own if d == least}
+        least = min(d for d, _ in near)
+        labels = {x for d, x in near if d == least}
         b.label = labels.pop() if len(labels) == 1 else "good" if b.article else "bad"
     return found
 
 
-def _near(i: int, b: Block, found: list[Block], first: list[str]) -> list[tuple[int, str]]:
-    """The nearest decided block of the same section on either side."""
-    out = []
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(found):
-            if first[j] and found[j].article == b.article:
-                out.append((abs(i - j), first[j]))
-                break
-            j += step
+def _nearest(found: list[Block], first: list[str], step: int) -> list[int]:
+    """For each block, the place of the last decided block of its section that comes before it in the given direction; -1 without one."""
+    last: dict[int, int] = {}
+    out = [-1] * len(found)
+    for k in range(len(found))[::step]:
+        out[k] = last.get(found[k].article, -1)
+        if first[k]:
+            last[found[k].article] = k
     return out
 
 
