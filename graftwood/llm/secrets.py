@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,16 +28,20 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_STRING = r"'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
+_QUOTED = r"'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
+#: A literal, with the letters that some languages put before its quote.
+_STRING = rf"(?:[rRbBuUfFL@$]{{1,2}}(?=[\"'`]))?(?:{_QUOTED})"
 _PAIR = re.compile(
     rf"""(?<![\w.$-])(?:["']([\w.-]+)["']|([A-Za-z_$][\w$.-]*))\]?[ \t]*(?::[ \t]*(?:str|string|String|&str|const\ char\ \*)[ \t]*=|:=|=>|=(?!=)|:(?![:/]))[ \t]*((?:{_STRING}|[^\s"'`,;(){{}}\[\]<>]+)(?:[ \t]*[+.][ \t]*(?:{_STRING}|[A-Za-z_$][\w$.]*))*)"""
 )
 _PART = re.compile(rf"({_STRING})|([^\s\"'`+]+)")
 _NAME = re.compile(r"^[A-Za-z_$][\w$.-]*$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_STRONG = frozenset("password passwd passphrase pwd secret token credential credentials apikey accesskey secretkey privatekey authtoken".split())
-_WEAK = frozenset("key auth cred creds session cookie signature signing salt bearer".split())
+_STRONG = frozenset("password passwd passwort passphrase passcode pwd pswd secret token credential cred apikey accesskey secretkey privatekey authtoken".split())
+_WEAK = frozenset("key auth session cookie signature signing salt bearer pass pw".split())
+#: Before ``key``, ``pass`` or ``pw`` these make the name a sensitive one.
 _QUALIFIES = frozenset("api access secret private signing encryption auth client master service account".split())
+_WHOSE = frozenset("db database user admin root smtp mail imap ftp sftp ssh sql mysql postgres pg redis mongo ldap login account service sudo keystore truststore my the".split())
 _HARMLESS = frozenset("public primary foreign sort cache key_id name path file url uri length len count type limit max min id expiry expires ttl".split())
 _PLACEHOLDER = re.compile(r"^(?:\$\{.*|\{\{.*|<.*|%\(.*|\*+|x+|\.+|-+|(?:your|my|the|some|insert|enter|change|replace|example|sample|dummy|test|todo|none|null|true|false|undefined|redacted|placeholder)\b.*|change_?me|example.*|your[_-].*)$", re.I)
 
@@ -48,13 +53,19 @@ class SecretScan:
     score: float = 1.0
 
 
+def _singular(word: str) -> str:
+    return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
+
+
 def name_weight(name: str) -> float:
-    """1 for a name that says secret, 0.5 for one that may, 0 otherwise."""
-    words = [w.lower() for w in _WORDS.findall(name)]
-    joined = {a + b for a, b in zip(words, words[1:], strict=False)}
+    """1 for a name that says secret, 0.5 for one that may, 0 otherwise; plurals count like one."""
+    words = [_singular(w.lower()) for w in _WORDS.findall(name) if not w.isdigit()]
+    pairs = list(zip(words, words[1:], strict=False))
     if words and words[-1] in _HARMLESS or "public" in words:
         return 0.0
-    if _STRONG & (set(words) | joined) or any(a in _QUALIFIES and b == "key" for a, b in zip(words, words[1:], strict=False)):
+    if _STRONG & {*words, *(a + b for a, b in pairs)}:
+        return 1.0
+    if any(a in _QUALIFIES and b == "key" or a in _WHOSE and b in ("pass", "pw") for a, b in pairs):
         return 1.0
     return 0.5 if _WEAK & set(words) else 0.0
 
@@ -94,9 +105,10 @@ def lexed_spans(text: str, p: SecretScan = SecretScan()) -> list[tuple[int, int]
         for part in parts:
             at = m.start(3)
             if part[1]:
-                n = 3 if part[1][:3] in ("'''", '"""') and len(part[1]) >= 6 else 1
+                body = part[1].lstrip("rRbBuUfFL@$")
+                n = 3 if body[:3] in ("'''", '"""') and len(body) >= 6 else 1
                 holds.setdefault(name, set()).add(len(literals))
-                literals.append((at + part.start() + n, at + part.end() - n, part[1][n:-n], True))
+                literals.append((at + part.end() - len(body) + n, at + part.end() - n, body[n:-n], True))
             else:
                 bare = part[2].rstrip(".,;")
                 if _NAME.match(bare) and not re.search(r"\d.*[A-Za-z].*\d|\d{4}", bare):
@@ -105,7 +117,9 @@ def lexed_spans(text: str, p: SecretScan = SecretScan()) -> list[tuple[int, int]
                     holds.setdefault(name, set()).add(len(literals))
                     literals.append((at + part.start(), at + part.start() + len(bare), bare, False))
     # constants travel to the names that take their value: walked back from the sensitive names, over chains of any length
-    short = {n.rsplit(".", 1)[-1]: n for n in holds}
+    short: dict[str, list[str]] = {}
+    for n in holds:
+        short.setdefault(n.rsplit(".", 1)[-1], []).append(n)
     found = set()
     weights = {n: name_weight(n) for n in holds.keys() | flows.keys()}
     for weight in set(weights.values()) - {0.0}:
@@ -118,17 +132,37 @@ def lexed_spans(text: str, p: SecretScan = SecretScan()) -> list[tuple[int, int]
                 if weight * literal_weight(value, quoted, p) >= p.score * 0.75:
                     found.add((start, end))
             for s in flows.get(name, ()):
-                src = s if s in weights else short.get(s.rsplit(".", 1)[-1])
-                if src is not None and src not in met:
-                    met.add(src)
-                    todo.append(src)
+                fresh = [x for x in ([s] if s in weights else short.get(s.rsplit(".", 1)[-1], ())) if x not in met]
+                met.update(fresh)
+                todo += fresh
     return sorted(found)
 
 
+def _uncovered(start: int, end: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What of a span lies outside the given ones, which are sorted and apart."""
+    k = bisect_right(ends, start)
+    while start < end:
+        if k == len(starts) or starts[k] >= end:
+            yield start, end
+            return
+        if start < starts[k]:
+            yield start, starts[k]
+        start = max(start, ends[k])
+        k += 1
+
+
 def spans_of(text: str, p: SecretScan = SecretScan()) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: a lexed one counts if it overlaps no base span."""
+    """Base spans, and all spans: of a lexed one, what no base span covers; so the tail of a literal that a base span ends in isn't lost."""
     base = base_spans(text)
-    more = [(s, 3, e) for s, e in lexed_spans(text, p) if all(e <= b or s >= f for b, _, f in base)]
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    more = [(a, 3, b) for s, e in lexed_spans(text, p) for a, b in _uncovered(s, e, starts, ends)]
     return base, sorted(base + more)
 
 
