@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +19,11 @@ from .pii import pseudonymise
 from .secrets import scan
 from .url_filter import filter_urls, listing
 
-#: Session setting with the key of the pseudonyms; a deployment sets its own.
-PII_KEY = "spark.graftwood.pii.key"
-PII_KEY_UNSET = "graftwood-development-key"
+log = logging.getLogger(__name__)
+
+#: Setting with the key of the pseudonyms; Spark hides the values of settings named so.  Without it an application makes a key of its own, and its pseudonyms link with no other's.
+PII_KEY = "spark.graftwood.pii.secret"
+_made_keys: dict[str, str] = {}
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Listed canonical URLs of the method: spam, betting and tracking hosts.
@@ -52,8 +56,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def _pii_key(spark: SparkSession) -> str:
+    key = spark.conf.get(PII_KEY, "")
+    if not key:
+        log.warning("%s isn't set: the pseudonyms of this application link with those of no other", PII_KEY)
+        key = _made_keys.setdefault(spark.sparkContext.applicationId, token_hex(32))
+    return key
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_KEY_UNSET))
+    return pseudonymise(_table(spark, sf_dir, "documents"), _pii_key(spark))
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
