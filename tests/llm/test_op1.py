@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from graftwood.llm.brown_lm import BrownLM, exchange, fit, score
+from graftwood.llm.brown_lm import BrownLM, _endings, _held, exchange, fit, score, sequences, transitions
 from graftwood.llm.textvec import CHUNK, Words
 
 
@@ -37,17 +38,56 @@ def test_base_equals_brute_force(documents, texts, words, head):
 
 
 def test_the_model_is_a_distribution(documents):
-    counts, m = fit(documents.select("text"), BrownLM(units=100, endings=16, classes=8))
-    assert np.allclose((10 ** m["trans"]).sum(1), 1)
+    p = BrownLM(units=100, endings=16, classes=8, head=500)
+    base = documents.select("doc_id", "text")
+    table, m = fit(base.select("text"), p)
+    rows = sequences(base, table, m, p)
+    trans = transitions(rows, m, p)
+    assert np.allclose((10**trans).sum(1), 1)
     # every word is in one class: emissions of a class and its place for unseen words add up to 1
-    rows = counts.toPandas()
-    h = rows["h"].to_numpy().view(np.uint64)
-    at = np.minimum(np.searchsorted(m["top"], h), len(m["top"]) - 1)
-    unit = np.where(m["top"][at] == h, at, len(m["top"]) + rows["e"].to_numpy())
-    cls = m["cls"][unit]
-    for c in set(cls.tolist()):
-        n = rows["n"].to_numpy()[cls == c]
-        assert ((n + 1).sum() + 1) / 10 ** m["emit"][c] == pytest.approx(1)
+    n, c = (table.toPandas()[k].to_numpy() for k in "nc")
+    assert table.count() == table.select("h").distinct().count() == m["vocabulary"] and n.sum() == m["tokens"]
+    for k in set(c.tolist()):
+        assert ((n[c == k] + 1).sum() + 1) / 10 ** m["emit"][k] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("p", [BrownLM(), BrownLM(units=60, endings=8, classes=6, head=30, least=3)])
+def test_scores_equal_brute_force(documents, texts, words, p):
+    """Classes are taken from the table of words; everything else is counted anew, text by text."""
+    base = documents.select("doc_id", "text")
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    table, m = fit(base.filter(~_held(p)).select("text"), p)
+    known = {r["h"]: (r["n"], r["c"]) for r in table.collect()}
+    seqs = {}
+    for i, t in texts.items():
+        raw = words(t)
+        h = [*(Words([" ".join(raw).encode()]).h.view(np.int64).tolist() if raw else []), 1]
+        ends = [*(_endings(Words([w.encode()]).last(), p)[0] for w in raw), 0]
+        seqs[i] = [(*known[x],) if x in known else (0, int(m["cls"][len(m["top"]) + e])) for x, e in zip(h, ends, strict=True)]
+    g = np.zeros((p.classes, p.classes))
+    for i, s in seqs.items():
+        if not held[i]:
+            for (_, a), (_, b) in zip([(0, m["end"]), *s], s, strict=False):
+                g[a, b] += 1
+    mass = np.array([sum(n + 1 for n, c in known.values() if c == k) + 1 for k in range(p.classes)], float)
+    trans = (g + p.backoff * mass / mass.sum()) / (g.sum(1, keepdims=True) + p.backoff)
+    for r in score(documents, p).collect():
+        s = seqs[r["doc_id"]]
+        want = sum(math.log10(trans[a, b] * (n + 1) / mass[b]) for (_, a), (n, b) in zip([(0, m["end"]), *s], s, strict=False))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_rare_words_take_the_class_of_their_neighbours(spark):
+    """x and y words alternate; words outside the core, whose endings say nothing, land with those that stand in their places."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        rows.append((" ".join(w for _ in range(20) for w in (f"x{rng.randrange(60)}q", f"y{rng.randrange(60)}q")),))
+    p = BrownLM(units=30, endings=1, classes=3, least=2)
+    table, m = fit(spark.createDataFrame(rows, "text string"), p)
+    c = {r["h"]: r["c"] for r in table.collect()}
+    of = lambda k: {c[int(Words([f"{k}{i}q".encode()]).h.view(np.int64)[0])] for i in range(60)}
+    assert len(of("x")) == len(of("y")) == 1 and of("x") != of("y")
 
 
 def test_exchange_finds_alternating_classes():
