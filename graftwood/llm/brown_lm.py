@@ -44,7 +44,7 @@ END = np.uint64(1)
 class BrownLM:
     units: int = 1000
     endings: int = 256
-    classes: int = 48
+    classes: int = 128
     sweeps: int = 8
     least: int = 2
     head: int = 600_000
