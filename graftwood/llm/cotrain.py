@@ -2,24 +2,30 @@
 
 The *content* view sees the text (shape statistics and the presence of telling
 words and word stems), the *metadata* view sees what is known about the document without reading
-it (source, language, length).  Each round, either classifier labels the documents
-of an unlabelled pool that it is surest of, and they join the other's training
-rows.  Both are then calibrated, and combined, on labelled rows that neither has
-learned from.  A document is good if its quality is 1 and it is not toxic.
-
-Only fitting is bounded (``labelled_rows``, ``pool_rows``: rows with the least hash
-of their id); every document is scored, over its whole text, in one pass.
+it (source, language, length).  Each round, both classifiers judge every unlabelled
+document of the table, and of each stratum of sources and languages those that one
+of them is surest of join the other's training rows.  Both are then calibrated, and
+combined, on labelled rows that neither has learned from.  A document is good if
+its quality is 1 and it is not toxic.
+
+The only bound on what is read is ``labelled_rows`` (one row for each of the
+labelled ids with the least hashes).  Features of all documents, over their whole
+texts, are written once; rounds and scores are passes over them.  A round adds
+``per_stratum`` rows at most of each class, view and stratum, whatever the size of
+the table, and looks for them everywhere.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_text import STOP_WORDS
@@ -35,13 +41,12 @@ _META = "doc_id", "source", "lang", "n_chars"
 @dataclass(frozen=True)
 class CoTraining:
     labelled_rows: int = 12_000
-    pool_rows: int = 4_000
     words: int = 600
     stems: tuple[int, ...] = (4, 5)
     least_df: int = 4
     least_chi: float = 10.8
     rounds: int = 4
-    per_round: int = 200
+    per_stratum: int = 2
     sure: float = 0.95
     prior: float = 1.0
     threshold: float = 0.5
@@ -120,12 +125,25 @@ def _meta_matrix(source: list, lang: list, n_chars: list, p: CoTraining) -> np.n
     return out
 
 
+def _dense(shapes: np.ndarray, m: dict) -> np.ndarray:
+    d = np.clip((shapes - m["mean"]) / m["sd"], -6, 6)
+    return np.hstack((d, np.maximum(d - 1, 0), np.maximum(-1 - d, 0)))
+
+
 def _text_matrix(shapes: np.ndarray, sets: list[np.ndarray], m: dict) -> np.ndarray:
-    dense = np.clip((shapes - m["mean"]) / m["sd"], -6, 6)
     presence = np.zeros((len(sets), len(m["selected"])))
     for k, s in enumerate(sets):
         presence[k, s] = 1
-    return np.hstack((dense, np.maximum(dense - 1, 0), np.maximum(-1 - dense, 0), presence))
+    return np.hstack((_dense(shapes, m), presence))
+
+
+def _text_logit(shapes: np.ndarray, sets: list[np.ndarray], m: dict) -> np.ndarray:
+    """``_logit(_text_matrix(...), m["text"])`` without the matrix."""
+    w = m["text"]
+    n = 3 * SHAPE
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    words = np.concatenate(sets) if len(sets) else np.empty(0, np.int64)
+    return _dense(shapes, m) @ w[:n] + np.bincount(owner, w[n:-1][words.astype(np.int64)], len(sets)) + w[-1]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -160,14 +178,11 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, p: CoTraining) -> tuple[DataFrame, DataFrame]:
-    """Ids with a label (doc_id, good) and ids of the pool, both bounded."""
+def _labelled(labels: DataFrame, p: CoTraining) -> DataFrame:
+    """(doc_id, good) of ``labelled_rows`` labelled ids at most."""
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("q"), labels["toxic"].cast("int").alias("t")).filter("doc_id is not null and q is not null")
     marked = marked.groupBy("doc_id").agg(F.min(((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).cast("int")).alias("good"))
-    known = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled_rows)
-    rest = docs.select(docs["doc_id"].cast("long").alias("doc_id")).filter("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti")
-    pool = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.pool_rows).withColumn("good", F.lit(-1))
-    return known, pool
+    return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled_rows)
 
 
 def _view(docs: DataFrame) -> DataFrame:
@@ -203,76 +218,169 @@ def _telling(rows: DataFrame, p: CoTraining) -> np.ndarray:
     return np.sort(np.asarray(best.column(0)).view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dict | None:
-    """The model, or None if the labels don't show both classes."""
-    known, pool = _sample(docs, labels, p)
-    wanted = F.broadcast(known.union(pool))  # labelled_rows + pool_rows ids at most
-    sample = materialize(_view(docs).join(wanted, "doc_id").withColumn("fold", F.expr(_FOLD)), "cotrain-sample")
-    selected = _telling(sample.filter("good >= 0 and fold > 0"), p)
+_FEATURES = "doc_id long, source string, lang string, n_chars long, shape binary, words binary"
+
+
+def _featured(selected: np.ndarray, p: CoTraining, more: tuple[str, ...] = ()):
+    """Metadata, shape and places of the selected words of each text, and the columns ``more`` as they are."""
     of = _features(selected, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             shapes, sets = of(texts)
-            names = ["doc_id", "source", "lang", "n_chars", "good", "fold"]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.record_batch([*cols, pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.astype(np.int32).tobytes() for x in sets], pa.binary())], names=[*names, "shape", "words"])
-
-    rows = sample.mapInArrow(run, "doc_id long, source string, lang string, n_chars long, good int, fold long, shape binary, words binary").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["words"][i], rows["shape"][i]))
-    rows = {c: [v[i] for i in order] for c, v in rows.items()}
-    y, fold = np.array(rows["good"], np.int64), np.array(rows["fold"], np.int64)
-    shapes = np.array([np.frombuffer(x) for x in rows["shape"]]).reshape(-1, SHAPE)
-    places = [np.frombuffer(x, np.int32) for x in rows["words"]]
-    labelled, pooled = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    if len(labelled) < 10 or len(set(y[labelled].tolist())) < 2:
-        return None
-    learn, check = labelled[fold[labelled] > 0], labelled[fold[labelled] == 0]
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in (*_META, *more)]
+            own = [pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.astype(np.int16).tobytes() for x in sets], pa.binary())]
+            yield pa.record_batch([*cols[:4], *own, *cols[4:]], names=[*_META, "shape", "words", *more])
+
+    return run
+
+
+def _read_features(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Shapes and places of words of a batch of features."""
+    col = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shape", "words")}
+    shapes = np.frombuffer(b"".join(col["shape"])).reshape(-1, SHAPE)
+    return shapes, [np.frombuffer(x, np.int16) for x in col["words"]]
+
+
+def _meta_of(batch: pa.RecordBatch, p: CoTraining) -> np.ndarray:
+    return _meta_matrix(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("source", "lang", "n_chars")), p)
+
+
+def _surest(p: CoTraining, sent):
+    """Of each view, class and stratum in a partition, the ``per_stratum`` rows that the view is surest of, with their features.
+
+    Ties go by hashes of ids; rows of the labelled sample and those that were taken
+    before are passed over, and of rows with one id one is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        held: list[dict] = []
+
+        def best(rows: list[dict]) -> list[dict]:
+            rows.sort(key=lambda r: (r["view"], r["up"], r["stratum"], -r["sure"], r["tie"], r["doc_id"], r["words"], r["shape"]))
+            out, count, seen = [], Counter(), set()
+            for r in rows:
+                key = (r["view"], r["up"], r["stratum"])
+                if count[key] < p.per_stratum and (key, r["doc_id"]) not in seen:
+                    count[key] += 1
+                    seen.add((key, r["doc_id"]))
+                    out.append(r)
+            return out
+
+        for batch in batches:
+            shapes, sets = _read_features(batch)
+            meta = _meta_of(batch, p)
+            stratum = meta[:, : p.sources].argmax(1) * 8 + meta[:, p.sources : p.sources + 8].argmax(1)
+            ids = batch.column(0).to_pylist()
+            raw = None
+            for view, z in (("text", _text_logit(shapes, sets, m)), ("meta", _logit(meta, m["meta"]))):
+                prob = sigmoid(z)
+                for up, sure in ((True, prob), (False, 1 - prob)):
+                    some = np.flatnonzero(sure >= p.sure)
+                    # in a batch, no more than the first few of each stratum can be among the best
+                    some = some[np.lexsort((-sure[some], stratum[some]))]
+                    for k in some[_first_few(stratum[some], 4 * p.per_stratum)].tolist():
+                        if ids[k] is None or ids[k] in m["taken"]:
+                            continue
+                        raw = raw or batch.to_pydict()
+                        held.append({c: raw[c][k] for c in raw} | {"view": view, "up": up, "sure": float(sure[k]), "stratum": int(stratum[k]), "tie": xxhash.xxh32_intdigest(str(ids[k]), 3)})
+            held = best(held)
+        yield pa.RecordBatch.from_pylist(held, _CHOSEN)
+
+    return run
+
+
+_CHOSEN = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64()), ("shape", pa.binary()), ("words", pa.binary()),
+        ("view", pa.string()), ("up", pa.bool_()), ("sure", pa.float64()), ("stratum", pa.int32()), ("tie", pa.int64()),
+    ]
+)
+
+
+def _first_few(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of the sorted keys are among the first ``n`` of their kind."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys)))) < n
+
+
+def _matrices(table: pa.Table, m: dict, p: CoTraining) -> dict[str, np.ndarray]:
+    one = table.combine_chunks().to_batches()
+    batch = one[0] if one else pa.RecordBatch.from_pylist([], table.schema)
+    shapes, sets = _read_features(batch)
+    return {"text": _text_matrix(shapes, sets, m), "meta": _meta_of(batch, p)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> tuple[dict | None, DataFrame | None]:
+    """(model, features of all documents); None where the labels don't show both classes."""
+    view = _view(docs)
+    known = _labelled(labels, p)
+    # one row for each id, however often the table repeats it
+    rows = view.join(F.broadcast(known), "doc_id")
+    rest = F.struct("source", "lang", "n_chars", "text")
+    sample = rows.groupBy("doc_id", "good").agg(F.min_by(rest, F.struct(F.xxhash64("text"), "source", "lang", "n_chars")).alias("r")).select("doc_id", "r.*", "good").withColumn("fold", F.expr(_FOLD))
+    sample = materialize(sample, "cotrain-sample")
+    selected = _telling(sample.filter("fold > 0"), p)
+    table = sample.mapInArrow(_featured(selected, p, ("good", "fold")), f"{_FEATURES}, good int, fold long").toArrow().sort_by("doc_id")
+    y, fold = np.asarray(table["good"]).astype(np.int64), np.asarray(table["fold"])
+    if len(y) < 10 or len(set(y.tolist())) < 2:
+        return None, None
+    learn, check = np.flatnonzero(fold > 0), np.flatnonzero(fold == 0)
     if len(set(y[learn].tolist())) < 2 or len(set(y[check].tolist())) < 2:
-        learn = check = labelled
-    m: dict = {"mean": shapes[learn].mean(0), "sd": shapes[learn].std(0) + 1e-6, "selected": selected}
-    views = {"text": _text_matrix(shapes, places, m), "meta": _meta_matrix(rows["source"], rows["lang"], rows["n_chars"], p)}
-    train = {v: (learn, y[learn].astype(float)) for v in views}
-    free = pooled
+        learn = check = np.arange(len(y))
+    shapes = np.frombuffer(b"".join(table["shape"].to_pylist())).reshape(-1, SHAPE)
+    m: dict = {"mean": shapes[learn].mean(0), "sd": shapes[learn].std(0) + 1e-6, "selected": selected, "taken": set(table["doc_id"].to_pylist())}
+    views = _matrices(table, m, p)
+    train = {v: (x[learn], y[learn].astype(float)) for v, x in views.items()}
+    features = materialize(view.mapInArrow(_featured(selected, p), _FEATURES), "cotrain-features")
+    order = Window.partitionBy("view", "up", "stratum").orderBy(F.desc("sure"), "tie", "doc_id", "words", "shape")
+    schema = f"{_FEATURES}, view string, up boolean, sure double, stratum int, tie long"
     for turn in range(p.rounds + 1):
-        for v, x in views.items():
-            ids, target = train[v]
-            m[v] = logistic(x[ids], target, p.prior / len(ids), start=m.get(v))
-        if turn == p.rounds or not len(free):
+        for v, (x, target) in train.items():
+            m[v] = logistic(x, target, p.prior / len(target), start=m.get(v))
+        if turn == p.rounds:
             break
-        taken: set[int] = set()
-        for v, other in (("text", "meta"), ("meta", "text")):
-            prob = sigmoid(_logit(views[v][free], m[v]))
-            up = [i for i in np.argsort(-prob, kind="stable")[: p.per_round] if prob[i] >= p.sure]
-            down = [i for i in np.argsort(prob, kind="stable")[: p.per_round] if prob[i] <= 1 - p.sure]
-            chosen = free[np.array(up + down, np.int64)]
-            ids, target = train[other]
-            train[other] = np.concatenate((ids, chosen)), np.concatenate((target, np.ones(len(up)), np.zeros(len(down))))
-            taken |= set(chosen.tolist())
-        free = np.array([i for i in free if i not in taken], np.int64)
-        if not taken:
+        sent = docs.sparkSession.sparkContext.broadcast(m)
+        surest = features.mapInArrow(_surest(p, sent), schema).dropDuplicates(["view", "up", "stratum", "doc_id"])
+        chosen = surest.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= p.per_stratum).drop("__k").toArrow().sort_by("doc_id")
+        said = [set(zip(chosen["doc_id"].to_pylist(), chosen["up"].to_pylist(), strict=True)) for chosen in (chosen.filter(pc.equal(chosen["view"], v)) for v in ("text", "meta"))]
+        # a document that the views label oppositely teaches neither
+        torn = {i for i, up in said[0] if (i, not up) in said[1]}
+        m["taken"] |= {i for i, _ in said[0] | said[1]}
+        chosen = chosen.filter(pa.array([i not in torn for i in chosen["doc_id"].to_pylist()], pa.bool_()))
+        if not len(chosen):
             break
+        more = _matrices(chosen, m, p)
+        for v, other in (("text", "meta"), ("meta", "text")):
+            own = np.asarray(pc.equal(chosen["view"], v).combine_chunks().to_numpy(zero_copy_only=False))
+            x, target = train[other]
+            train[other] = np.vstack((x, more[other][own])), np.concatenate((target, np.asarray(chosen["up"].to_pylist(), float)[own]))
     for v, x in views.items():
         z = _logit(x[check], m[v])
         m[f"{v}_cal"] = logistic(z[:, None] / 4, y[check].astype(float), 1e-3)
-    z = np.stack([_logit(views[v][check] / 1.0, m[v]) / 4 for v in views], 1)
+    z = np.stack([_logit(views[v][check], m[v]) / 4 for v in views], 1)
     m["both"] = logistic(z, y[check].astype(float), 1e-3)
-    return m
+    del m["taken"]
+    return m, features
 
 
-def predict(m: dict, texts: list[bytes], source: list, lang: list, n_chars: list, p: CoTraining, of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _calibrated(m: dict, zt: np.ndarray, zm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Calibrated chance of being good by the content view, the metadata view, and both."""
-    shapes, places = of(texts)
-    zt = _logit(_text_matrix(shapes, places, m), m["text"]) / 4
-    zm = _logit(_meta_matrix(source, lang, n_chars, p), m["meta"]) / 4
+    zt, zm = zt / 4, zm / 4
     return sigmoid(_logit(zt[:, None], m["text_cal"])), sigmoid(_logit(zm[:, None], m["meta_cal"])), sigmoid(_logit(np.stack((zt, zm), 1), m["both"]))
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], m: dict, p: CoTraining, named: dict[str, str]):
+    """Batches of documents with the combined chance of each row."""
     of = _features(m["selected"], p)
     for batch, texts in text_chunks(batches, named["text"], 1 << 20):
         column = lambda c: batch.column(batch.schema.get_field_index(named[c])).to_pylist() if c in named else [None] * len(texts)
-        yield batch, predict(m, texts, column("source"), column("lang"), column("n_chars"), p, of)
+        shapes, sets = of(texts)
+        meta = _meta_matrix(column("source"), column("lang"), column("n_chars"), p)
+        yield batch, _calibrated(m, _text_logit(shapes, sets, m), _logit(meta, m["meta"]))[2]
 
 
 def score(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
@@ -284,30 +392,30 @@ def score(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> D
     Repeated rows and rows without an id are scored each.  Either table may be
     empty.  Other columns are ignored.
     """
-    m = fit(docs, labels, p)
-    view = _view(docs)
+    m, features = fit(docs, labels, p)
     if m is None:
         one = F.lit(1.0)
-        return view.select("doc_id", one.alias("p_text"), one.alias("p_meta"), one.alias("score"), F.lit(True).alias("kept"))
+        return _view(docs).select("doc_id", one.alias("p_text"), one.alias("p_meta"), one.alias("score"), F.lit(True).alias("kept"))
     sent = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, (a, b, c) in _predicted(batches, sent.value, p, {x: x for x in ("source", "lang", "n_chars", "text")}):
+        for batch in batches:
+            a, b, c = _calibrated(sent.value, _text_logit(*_read_features(batch), sent.value), _logit(_meta_of(batch, p), sent.value["meta"]))
             yield pa.record_batch([batch.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= p.threshold)], names=["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    return view.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    return features.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with all their columns, without a shuffle."""
-    m = fit(docs, labels, p)
+    m, _ = fit(docs, labels, p)
     if m is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(m)
     named = {c.lower(): c for c in docs.columns if c.lower() in ("source", "lang", "n_chars", "text")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, (_, _, c) in _predicted(batches, sent.value, p, named):
+        for batch, c in _predicted(batches, sent.value, p, named):
             yield batch.filter(pa.array(c >= p.threshold))
 
     return docs.mapInArrow(run, docs.schema)
