@@ -2,13 +2,17 @@
 
 - *Memtables.*  Each task keeps digest -> (smallest id, rows) of the rows it has
   read, up to ``memtable`` digests, and flushes it as a run sorted by digest.
-- *Compaction.*  Runs are dealt out by digest and merged as sorted streams; of
-  equal digests the smallest identifier stays and the rows add up.
-- *Filter.*  Compaction also sets the bits of the digests that more than one row
-  has, in a Bloom filter of fixed size (``filter_bits``), broadcast to the lookup.
-- *Lookup.*  A text whose digest misses the filter is alone and never shuffled.
-  Hits join the index, and their bytes are held against the kept text's bytes.
-  Digests under which texts differ are grouped anew by the texts themselves.
+- *Compaction.*  Runs are dealt out by digest and merged as sorted streams into
+  larger ones of about ``run_digests``; of equal digests the smallest identifier
+  stays and the rows add up.  Each run gets a Bloom filter of its digests that more
+  than one row has, with ``filter_bits`` for each of them.
+- *Lookup.*  A text probes the filter of the one run that may hold its digest.  If
+  it misses, it is alone and never shuffled.  The filters are broadcast only if
+  they add up to ``filter_bytes`` at most; beyond that, digests aren't filtered and
+  every text joins the index by a shuffle.
+- *Verification.*  Hits join the index, and their bytes are held against the kept
+  text's bytes.  Digests under which texts differ are grouped anew by the texts
+  themselves.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ class LsmDedup:
     """``digest_chars``: hex digits of the index key (64: all; tests shorten it to force collisions)."""
 
     memtable: int = 200_000
-    filter_bits: int = 1 << 23
-    filter_hashes: int = 4
+    run_digests: int = 1_000_000
+    filter_bits: int = 12
+    filter_hashes: int = 6
+    filter_bytes: int = 64 << 20
     digest_chars: int = 64
 
 
@@ -60,44 +66,81 @@ def _memtables(limit: int):
     return run
 
 
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, low, total = None, None, 0
-    for batch in batches:
-        ks, ids, ns = [], [], []
-        for d, i, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if d == last:
-                low = i if low is None else low if i is None else min(low, i)
-                total += n
-                continue
-            if last is not None:
-                ks.append(last)
-                ids.append(low)
-                ns.append(total)
-            last, low, total = d, i, n
-        yield pa.record_batch([pa.array(ks, pa.binary()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], names=["digest", "keep_id", "n"])
-    if last is not None:
-        yield pa.record_batch([pa.array([last], pa.binary()), pa.array([low], pa.int64()), pa.array([total], pa.int64())], names=["digest", "keep_id", "n"])
+def _places(h1: np.ndarray, h2: np.ndarray, bits: np.ndarray | int, p: LsmDedup) -> Iterator[np.ndarray]:
+    """Bits of a filter of ``bits`` that belong to a digest, from its two hashes."""
+    bits = np.asarray(bits, np.uint64)
+    h1, h2 = h1.view(np.uint64), h2.view(np.uint64) | np.uint64(1)
+    for k in range(p.filter_hashes):
+        yield (h1 + np.uint64(k) * h2) % bits
 
 
-def _places(p: LsmDedup) -> list[Column]:
-    """Filter bits of a digest, as columns."""
-    return [F.pmod(F.xxhash64(F.col("digest"), F.lit(k)), F.lit(p.filter_bits)) for k in range(p.filter_hashes)]
+def make_filter(h1: np.ndarray, h2: np.ndarray, p: LsmDedup) -> bytes:
+    """The filter of digests, by their hashes: ``filter_bits`` for each, in whole 64-bit words."""
+    words = np.zeros(max(1, -(-len(h1) * p.filter_bits // 64)), np.uint64)
+    for at in _places(h1, h2, len(words) * 64, p):
+        np.bitwise_or.at(words, (at // np.uint64(64)).astype(np.int64), np.uint64(1) << at % np.uint64(64))
+    return words.tobytes()
 
 
-def _filter_words(index: DataFrame, p: LsmDedup) -> np.ndarray:
-    """The filter as 64-bit words; at most filter_bits / 64 rows reach the driver."""
-    bits = index.filter("n > 1").select(F.explode(F.array(*_places(p))).alias("bit"))
-    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    words = bits.groupBy((F.col("bit") / 64).cast("long").alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
-    out = np.zeros(p.filter_bits // 64, np.int64)
-    out[np.asarray(words.column(0))] = np.asarray(words.column(1))
-    return out
+_RUN = "run long, digest binary, keep_id long, n long, filter binary"
 
 
-def build_index(keyed: DataFrame, p: LsmDedup) -> DataFrame:
-    """Compacted index (digest, keep_id, n) of rows (digest, doc_id)."""
-    runs = keyed.select("digest", "doc_id").mapInArrow(_memtables(p.memtable), "digest binary, keep_id long, n long")
-    return materialize(runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(_compact, "digest binary, keep_id long, n long"), "lsm-index")
+def _compact(p: LsmDedup):
+    """Merged runs out of a stream sorted by run and digest (run, digest, keep_id, n, h1, h2); behind each run comes its filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, low, total, hashes = None, None, 0, (0, 0)
+        repeated: list[tuple[int, int]] = []
+
+        def batch_of(rows: list[tuple], filters: list[tuple]) -> pa.RecordBatch:
+            every = [(*r, None) for r in rows] + [(k, None, None, None, f) for k, f in filters]
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array([r[k] for r in every], t) for k, t in enumerate(types)], names=["run", "digest", "keep_id", "n", "filter"])
+
+        def sealed(k: int) -> list[tuple]:
+            if not repeated:
+                return []
+            h = np.array(repeated, np.int64)
+            repeated.clear()
+            return [(k, make_filter(h[:, 0].copy(), h[:, 1].copy(), p))]
+
+        for batch in batches:
+            rows, filters = [], []
+            for k, d, i, n, h1, h2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, d) == last:
+                    low = i if low is None else low if i is None else min(low, i)
+                    total += n
+                    continue
+                if last is not None:
+                    rows.append((*last, low, total))
+                    if total > 1:
+                        repeated.append(hashes)
+                    if k != last[0]:
+                        filters += sealed(last[0])
+                last, low, total, hashes = (k, d), i, n, (h1, h2)
+            yield batch_of(rows, filters)
+        if last is not None:
+            if total > 1:
+                repeated.append(hashes)
+            yield batch_of([(*last, low, total)], sealed(last[0]))
+
+    return run
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("digest").alias("h1"), F.xxhash64("digest", F.lit(1)).alias("h2")]
+
+
+def _run_of(runs: int) -> Column:
+    return F.pmod(F.xxhash64("digest", F.lit(2)), F.lit(runs).cast("long"))
+
+
+def build_index(keyed: DataFrame, p: LsmDedup) -> tuple[DataFrame, int]:
+    """Compacted runs of rows (digest, doc_id): run, digest, keep_id, n and, in a row of its own, the filter of a run; and the number of runs."""
+    runs = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // p.run_digests))
+    flushed = keyed.select("digest", "doc_id").mapInArrow(_memtables(p.memtable), "digest binary, keep_id long, n long")
+    dealt = flushed.withColumn("run", _run_of(runs)).repartition("run").sortWithinPartitions("run", "digest")
+    return materialize(dealt.select("run", "digest", "keep_id", "n", *_hashes()).mapInArrow(_compact(p), _RUN), "lsm-index"), runs
 
 
 def _keyed(docs: DataFrame, p: LsmDedup, id_col: str, text_col: str) -> DataFrame:
@@ -106,20 +149,31 @@ def _keyed(docs: DataFrame, p: LsmDedup, id_col: str, text_col: str) -> DataFram
 
 
 def _open(keyed: DataFrame, p: LsmDedup) -> tuple[DataFrame, Column]:
-    """The index, and whether the filter holds the ``digest`` of a row."""
-    index = build_index(keyed, p)
-    bits = keyed.sparkSession.sparkContext.broadcast(_filter_words(index, p))
+    """The index, and whether the filter of its run holds the ``digest`` of a row."""
+    made, runs = build_index(keyed, p)
+    index = made.filter("digest is not null").select("digest", "keep_id", "n")
+    filters = made.filter("filter is not null").select("run", "filter")
+    size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
+    if size > p.filter_bytes:
+        return index, F.lit(True)
+    got = filters.orderBy("run").toArrow()
+    parts = [np.frombuffer(x, np.uint64) for x in got.column(1).to_pylist()]
+    lengths = np.zeros(runs, np.int64)  # in words; 0: no digest of the run repeats
+    lengths[np.asarray(got.column(0)).astype(np.int64)] = [len(x) for x in parts]
+    sent = keyed.sparkSession.sparkContext.broadcast((np.concatenate([*parts, np.zeros(1, np.uint64)]), lengths))
 
     @pandas_udf("boolean")
-    def may_repeat(*places):
-        words = bits.value
-        hit = np.ones(len(places[0]), bool)
-        for x in places:
-            x = x.to_numpy()
-            hit &= (words[x // 64] >> (x % 64)) & 1 == 1
+    def may_repeat(run: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
+        words, lengths = sent.value
+        starts = np.cumsum(lengths) - lengths
+        k, a, b = (x.to_numpy().astype(np.int64) for x in (run, h1, h2))
+        hit = lengths[k] > 0
+        for at in _places(a, b, np.maximum(lengths[k], 1) * 64, p):
+            at = np.where(hit, at, 0).astype(np.int64)
+            hit &= words[starts[k] + at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1) == 1
         return pd.Series(hit)
 
-    return index, may_repeat(*_places(p))
+    return index, may_repeat(_run_of(runs), *_hashes())
 
 
 _COLS = ["doc_id", "keep_id", "group_size", "text_sha256"]
