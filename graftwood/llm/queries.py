@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import pkgutil
 from collections.abc import Callable
 from secrets import token_hex
 
@@ -26,10 +27,9 @@ PII_KEY = "spark.graftwood.pii.secret"
 _made_keys: dict[str, str] = {}
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Listed canonical URLs of the method: spam, betting and tracking hosts.
-#: Setting with the path of a list of such URLs, one a line (# begins a comment); without it URL_LIST holds, which OP3_SQL repeats.
+#: Setting with the path of a list of blocked URLs, one a line (# begins a comment).  Without it the list beside this module holds, which OP3_SQL repeats.
 URL_LIST_PATH = "spark.graftwood.url.list"
-URL_LIST = ("spam-farm.example.org/", "cheap-pills.example.com/", "casino-win.example.org/", "ads-track.example.org/", "free-bets.example.com/")
+URL_LIST = tuple(line for line in pkgutil.get_data(__package__, "url_list.txt").decode().split("\n") if line and not line.startswith("#"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,24 +98,24 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)
 """
 
-OP3_SQL = r"""
-WITH rules(host, path, verdict, named) AS (VALUES
-  ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true),
-  ('spam-farm.example.org', '/', 'block', false), ('cheap-pills.example.com', '/', 'block', false), ('casino-win.example.org', '/', 'block', false),
-  ('ads-track.example.org', '/', 'block', false), ('free-bets.example.com', '/', 'block', false)
-), p AS (
+#: The listed URLs are whole hosts, so that only the host's canonical form counts.
+OP3_SQL = rf"""
+WITH rules(host, path, verdict) AS (VALUES
+  ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), listed(host) AS (VALUES {", ".join(f"('{u[:-1]}')" for u in URL_LIST)})
+, p AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
-), seen AS (SELECT DISTINCT host, path FROM p)
+), seen AS (SELECT DISTINCT host, path, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS bare FROM p)
 , best AS (
-  SELECT s.host, s.path, arg_max(r, (CASE WHEN r.named THEN 1000000 ELSE 0 END) + length(r.host) + length(r.path)) AS r
+  SELECT s.host, s.path, arg_max(r, length(r.host) + length(r.path)) AS r
   FROM seen s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
   GROUP BY s.host, s.path
-)
-SELECT p.page_id, p.host, p.path, CASE WHEN b.r.named THEN b.r.host || b.r.path END AS rule, coalesce(b.r.verdict, 'allow') AS verdict
-FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+), hit AS (SELECT DISTINCT s.host, s.path FROM seen s JOIN listed l ON s.bare = l.host OR ends_with(s.bare, '.' || l.host))
+SELECT p.page_id, p.host, p.path, b.r.host || b.r.path AS rule, coalesce(b.r.verdict, CASE WHEN h.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path LEFT JOIN hit h ON p.host = h.host AND p.path = h.path
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from graftwood.llm import queries
-from graftwood.llm.url_filter import UrlFilter, filter_urls
+from graftwood.llm.url_filter import UrlFilter, canonical_path, filter_urls, listing
 
 RULES = [("net", "/", "block", True), ("example.net", "/en/", "allow", True), ("example.com", "/de/", "block", True), ("org", "/fr/", "allow", True), ("bad.example.org", "/", "block", False)]
 URLS = {
@@ -62,3 +62,30 @@ def test_the_list_is_an_input(spark, sf, tmp_path):
             assert (r["verdict"] == "block") == (r["host"].endswith("example.org") and r["path"].startswith("/en/") or r["host"] == "thther.example.com")
     finally:
         spark.conf.unset(queries.URL_LIST_PATH)
+
+
+@pytest.mark.parametrize(
+    "url,verdict",
+    [
+        ("https://user:pw@w.bad.example.org:8080/en", "block"),
+        ("https://BAD.example.org./x", "block"),
+        ("https://bad.example.org", "block"),
+        ("https://evil.example.com/x/../a/%62/c", "block"),
+        ("https://evil.example.com/a/./b/", "block"),
+        ("https://evil.example.com/a/%2e%2E/a/b/..", "allow"),
+        ("https://evil.example.com/a/b", "allow"),
+        ("https://evil.example.com/../../a/b/%zz%", "block"),
+        ("https://evil.example.com/a%2Fb/", "allow"),
+        ("https://nobad.example.org/", "allow"),
+    ],
+)
+def test_listed_urls_are_canonical(spark, url, verdict):
+    listed = listing(spark.createDataFrame([("Bad.Example.org",), ("evil.example.com:443/a/./%62/",)], "url string"))
+    row = filter_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), listed).first()
+    assert (row["rule"], row["verdict"]) == (None, verdict)
+
+
+@pytest.mark.parametrize("path,want", [("", "/"), ("/", "/"), ("a", "/a"), ("/a/../../b/.", "/b/"), ("/..", "/"), ("/a/b/..", "/a/"), ("/a//b", "/a//b"), ("/%7e%41%2f%", "/~A%2F%"), ("/.a/..b", "/.a/..b")])
+def test_canonical_paths(spark, path, want):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(canonical_path(df["p"])).first()[0] == want
