@@ -44,6 +44,27 @@ def test_part_of_an_item_is_not_the_item(spark, bench):
     assert found(spark, bench, half) == set()
 
 
+ALICE = "Alice has 5 apples. Alice buys 3 more. How many apples does Alice have?"
+
+
+def test_names_that_open_sentences(spark):
+    bench = spark.createDataFrame([(1, ALICE), (2, "Every morning Carla and Dieter bake 24 rolls. Carla sells 6 of them at the market. How many rolls are left for Dieter?")], "item_id long, text string")
+    other = ALICE.replace("Alice", "Bob").replace("5", "7").replace("3", "9")
+    torn = other.replace("Bob buys", "Eve buys")
+    quoted = "He asked: \"Zoe has 2 apples. Zoe buys 31 more. How many apples does Zoe have?\" Nobody knew."
+    second = "Every morning Ugo and Pia bake 36 rolls. Ugo sells 8 of them at the market. How many rolls are left for Pia?"
+    got = found(spark, bench, ALICE, other, torn, quoted, "1. " + other, second, ALICE.lower(), "Apples have many buyers. How many apples does the shop have?")
+    assert got == {(0, 1), (1, 1), (3, 1), (4, 1), (5, 2), (6, 1)}
+
+
+def test_items_of_few_words_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "What is 15 + 27?"), (2, "Add 3, 5, 7 and 9 to 12 km"), (3, "Yes or no"), (4, "no way")], "item_id long, text string")
+    got = found(spark, bench, "Some say: what is 15 + 27? It is 42.", "What is 15 + 28?", "Please add 3, 5, 7 and 9 to 12 km now.", "Add 3, 5, 7 and 8 to 12 km", "It is yes or no today", "there is no way out", "No way!", "WHAT IS 15 + 27", "Then What Is 15 + 27? Nobody")
+    # a text of the same template and no more is caught with other numbers too
+    assert got == {(0, 1), (1, 1), (2, 2), (4, 3), (6, 4), (7, 1), (8, 1)}
+    assert found(spark, bench, "Some say: what is 15 + 27? It is 42.", broadcast_rows=0) == {(0, 1)}
+
+
 def test_brute_force_over_given_tables(spark, sf, documents, texts):
     """Documents that hold every five words of an item are found, and nothing that shares under half of them."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
