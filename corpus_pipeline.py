@@ -30,21 +30,36 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
+#: Ids of rows that have none, while a stage tells rows apart; they follow all others.
+FIRST_MADE_ID = 1 << 62
+_ID = "__pipeline_id"
+
+
+def _identified(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with an id for every row in one more column: doc_id, or a made one where it is null, which is written out so that it stays."""
+    own = F.col("doc_id").cast("long")
+    if docs.filter("doc_id is null").isEmpty():
+        return docs.withColumn(_ID, own)
+    return materialize(docs.withColumn(_ID, F.coalesce(own, F.monotonically_increasing_id() + FIRST_MADE_ID)), f"pipeline-{name}-ids")
+
+
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone``: a list of up to BROADCAST_IDS ids is broadcast, a longer one shuffled."""
+    """The rows of ``docs`` whose id isn't in ``gone``: a list of up to BROADCAST_IDS ids is broadcast, a longer one shuffled."""
     gone = materialize(gone.select(F.col("doc_id").cast("long").alias("__gone_id")).distinct(), f"pipeline-{name}")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("__gone_id"), "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, docs[_ID] == F.col("__gone_id"), "left_anti").drop(_ID)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8."""
-    return _without(docs, near_duplicates(docs, NearDedup()).filter("not kept"), "near-gone")
+    """One document of each group of near duplicates: five words, similarity 0.8.  Rows without an id are told apart like any others."""
+    docs = _identified(docs, "near")
+    return _without(docs, near_duplicates(docs, NearDedup(), _ID).filter("not kept"), "near-gone")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks-gone")
+    """Documents that hold no benchmark item, whether or not they have an id."""
+    docs = _identified(docs, "leaks")
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=_ID), "leaks-gone")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

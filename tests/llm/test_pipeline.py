@@ -96,3 +96,16 @@ def test_queries_are_registered():
 
     names = entry.queries()
     assert sorted({int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))}) == list(range(1, 11)) and "pipeline" in names
+
+
+def test_rows_without_an_id_are_told_apart(spark, sf):
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    same = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, leak), (None, "harmless words " + same), (None, "harmless words " + same), (3, same), (4, f"One {leak} more"), (None, "nothing to see here"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert near.columns == COLUMNS
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near.collect()) == sorted([(3, same), (4, f"One {leak} more"), (0, "nothing to see here"), (0, "")])  # the leak and the text around it are near duplicates
+    clean = corpus_pipeline.decontaminate(spark, docs, sf)
+    assert clean.columns == COLUMNS
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in clean.collect()) == sorted([(0, rows[1][1]), (0, rows[1][1]), (3, same), (0, "nothing to see here"), (0, "")])
