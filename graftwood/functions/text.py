@@ -50,6 +50,20 @@ def digest16(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*joined), 256), 1, 16)
 
 
+def multiset_digest(entries: list[Column]) -> Column:
+    """Text of the aggregated ``digest_lanes`` of a group: the same for the same entries in any order, and another one if one of them changes.
+
+    It adds up, so a group of any size is one short row on every side of a shuffle.
+    """
+    return F.concat_ws("-", *(x.cast("string") for x in entries))
+
+
+def digest_lanes(entry: Column) -> list[Column]:
+    """Four numbers of 60 bits from the SHA-256 of an entry; sums of them stand for a multiset of entries."""
+    h = F.sha2(entry, 256)
+    return [F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)").alias(f"lane{k}") for k in range(4)]
+
+
 def content_hash(content: Column, lang: Column) -> Column:
     """Key of a file's summary: content and language, not the path."""
     return digest16(F.concat(F.lit(f"{HASH_VERSION}|lang="), lang), content)

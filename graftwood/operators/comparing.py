@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +41,14 @@ def pair_status(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(had, "key", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def _integer(item: Column, path: str) -> tuple[Column, Column]:
+_ITEM = f"struct<func_a: variant, func_b: variant, scores: struct<{', '.join(f'{d}: variant' for d in DIMENSIONS)}>, composite_score: variant, similarity_level: variant, analysis: variant>"
+_FUNCTION = "struct<name: variant, line_start: variant, line_end: variant>"
+
+
+def _integer(value: Column) -> tuple[Column, Column]:
     """(value, fine): an absent number is 0, one that can't become an integer spoils its item."""
-    raw = F.try_variant_get(item, path, "variant")
-    value = F.try_variant_get(item, path, "int")
-    absent = raw.isNull()
-    return F.when(absent, 0).otherwise(value), absent | value.isNotNull()
+    number = F.try_variant_get(value, "$", "long")
+    return F.when(value.isNull(), 0).otherwise(number), value.isNull() | number.isNotNull()
 
 
 def parse_similar(replies: DataFrame, threshold: int | None = None) -> DataFrame:
@@ -52,26 +57,26 @@ def parse_similar(replies: DataFrame, threshold: int | None = None) -> DataFrame
     Files are those of the request.  Scores are made integers as Python makes
     them; an item without func_a or func_b, or with a score that is no number, is
     dropped; an unknown level is very_low.  ``threshold``: also drop items with a
-    lower composite score (off by default, as the model is asked to).
+    lower composite score (off by default, as the model is asked to).  An item is
+    taken apart once, into one struct.
     """
     items = replies.withColumn("__items", F.try_variant_get(F.try_parse_json("reply"), "$.similar_functions", "array<variant>"))
     rows = items.select("ord", "file_a", "file_b", F.posexplode("__items").alias("pos", "item"))
-    item = F.col("item")
-    text = lambda path, default: F.coalesce(F.try_variant_get(item, path, "string"), F.lit(default))
-    line = lambda path: F.coalesce(F.try_variant_get(item, path, "int"), F.lit(0))
-    out, fine = {}, F.try_variant_get(item, "$.func_a", "variant").isNotNull() & F.try_variant_get(item, "$.func_b", "variant").isNotNull()
-    for name in DIMENSIONS:
-        out[name], ok = _integer(item, f"$.scores.{name}")
-        fine = fine & ok
-    out["composite_score"], ok = _integer(item, "$.composite_score")
-    level = F.try_variant_get(item, "$.similarity_level", "string")
-    parsed = rows.filter(fine & ok).select(
+    rows = rows.select("ord", "file_a", "file_b", "pos", F.try_variant_get("item", "$", _ITEM).alias("i")).filter("i.func_a is not null and i.func_b is not null")
+    side = lambda k: F.try_variant_get(F.col(f"i.func_{k}"), "$", _FUNCTION).alias(k)
+    rows = rows.select("ord", "file_a", "file_b", "pos", "i", side("a"), side("b"))
+    text = lambda c, default: F.coalesce(F.try_variant_get(F.col(c), "$", "string"), F.lit(default))
+    line = lambda c: F.coalesce(F.try_variant_get(F.col(c), "$", "int"), F.lit(0))
+    scores = {name: _integer(F.col(f"i.scores.{name}")) for name in DIMENSIONS} | {"composite_score": _integer(F.col("i.composite_score"))}
+    level = F.try_variant_get(F.col("i.similarity_level"), "$", "string")
+    fine = reduce(and_, (ok for _, ok in scores.values()))
+    parsed = rows.filter(fine).select(
         "ord", "file_a", "file_b", "pos",
-        text("$.func_a.name", "unknown").alias("name_a"), line("$.func_a.line_start").alias("start_a"), line("$.func_a.line_end").alias("end_a"),
-        text("$.func_b.name", "unknown").alias("name_b"), line("$.func_b.line_start").alias("start_b"), line("$.func_b.line_end").alias("end_b"),
-        *(v.cast("int").alias(k) for k, v in out.items()),
+        text("a.name", "unknown").alias("name_a"), line("a.line_start").alias("start_a"), line("a.line_end").alias("end_a"),
+        text("b.name", "unknown").alias("name_b"), line("b.line_start").alias("start_b"), line("b.line_end").alias("end_b"),
+        *(v.cast("long").alias(k) for k, (v, _) in scores.items()),
         F.when(level.isin(*LEVELS), level).otherwise(LEVELS[-1]).alias("similarity_level"),
-        text("$.analysis", "").alias("analysis"),
+        text("i.analysis", "").alias("analysis"),
     )
     return parsed if threshold is None else parsed.filter(F.col("composite_score") >= threshold)
 

@@ -128,9 +128,9 @@ li AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS
   SELECT *, '{"func_a": {"name": "f' || pa || '", "line_start": ' || q || '}' || CASE WHEN k % 19 = 0 THEN '' ELSE ', "func_b": {"name": "g' || sb END AS key FROM li))
 , x AS (
   SELECT CAST(k AS INTEGER) AS ord, 'a' || (k % 500) AS file_a, 'b' || (k % 300) AS file_b, CAST(pos AS INTEGER) AS pos, 'f' || pa AS name_a, q AS start_a, 0 AS end_a, 'g' || sb AS name_b, 1 AS start_b, 9 AS end_b,
-    CAST((k * 1 + n * 7 + q) % 101 AS INTEGER) AS data_structure, CAST((k * 2 + n * 7 + q) % 101 AS INTEGER) AS function_signature, CAST((k * 5 + n * 7 + q) % 101 AS INTEGER) AS algorithm_logic,
-    CAST(CASE WHEN k % 7 = 0 THEN 0 ELSE (k * 6 + n * 7 + q) % 101 END AS INTEGER) AS naming_convention, CAST((k * 9 + n * 7 + q) % 101 AS INTEGER) AS protocol_conformance,
-    CAST((k * 3 + n * 7 + q) % 101 AS INTEGER) AS composite_score, ['high', 'medium', 'low', 'very_low', 'very_low'][(k + n) % 5 + 1] AS similarity_level, 'a' || n AS analysis
+    CAST((k * 1 + n * 7 + q) % 101 AS BIGINT) AS data_structure, CAST((k * 2 + n * 7 + q) % 101 AS BIGINT) AS function_signature, CAST((k * 5 + n * 7 + q) % 101 AS BIGINT) AS algorithm_logic,
+    CAST(CASE WHEN k % 7 = 0 THEN 0 ELSE (k * 6 + n * 7 + q) % 101 END AS BIGINT) AS naming_convention, CAST((k * 9 + n * 7 + q) % 101 AS BIGINT) AS protocol_conformance,
+    CAST((k * 3 + n * 7 + q) % 101 AS BIGINT) AS composite_score, ['high', 'medium', 'low', 'very_low', 'very_low'][(k + n) % 5 + 1] AS similarity_level, 'a' || n AS analysis
   FROM ranked WHERE k % 19 <> 0 AND NOT (k % 17 = 0 AND k % 11 <> 0 AND k % 13 <> 0)
 ), d AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY file_a, name_a, file_b, name_b ORDER BY composite_score DESC, ord, pos) AS r FROM x) WHERE r = 1)"""
 _GREEDY = """
@@ -272,10 +272,13 @@ def dir_rollup(spark, sf):
     return tree.rollup(_tree(spark, sf))
 
 
+_LANES = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT))::VARCHAR" for k in range(4))
+
+
 @query(
-    f"""WITH {_TREE}, own AS (SELECT repo, dir, sha256(string_agg(e, chr(10) ORDER BY e)) AS digest FROM (SELECT repo, dir, path || chr(10) || sha256(coalesce(content, '')) AS e FROM f) GROUP BY ALL)
-SELECT up.repo, anc AS dir, substr(sha256('v1|root=' || anc || chr(10) || string_agg(own.dir || chr(10) || digest, chr(10) ORDER BY own.dir || chr(10) || digest)), 1, 16) AS subtree_hash
-FROM up JOIN own ON own.repo = up.repo AND own.dir = up.dir GROUP BY up.repo, anc"""
+    f"""WITH {_TREE}, e AS (SELECT repo, dir, sha256(path || chr(10) || sha256(coalesce(content, ''))) AS h FROM f)
+SELECT up.repo, anc AS dir, substr(sha256('v2|root=' || anc || chr(10) || concat_ws('-', count(*), {_LANES})), 1, 16) AS subtree_hash
+FROM up JOIN e ON e.repo = up.repo AND e.dir = up.dir GROUP BY up.repo, anc"""
 )
 def subtree_hash(spark, sf):
     return tree.subtree_hashes(_tree(spark, sf))
@@ -407,7 +410,7 @@ def match_validation(spark, sf):
 
 @query(f"WITH {_FILES}, d AS (SELECT DISTINCT repo, dir FROM f) SELECT repo, dir, CAST((row_number() OVER (PARTITION BY repo ORDER BY dir) - 1) // {BATCH} AS INTEGER) AS batch FROM d")
 def match_batches(spark, sf):
-    return matching.batches(_files(spark, sf).select("repo", "dir").distinct(), BATCH)
+    return matching.batches(_files(spark, sf).select("repo", "dir").distinct(), BATCH, _cut(spark))
 
 
 @query(
@@ -415,12 +418,12 @@ def match_batches(spark, sf):
 SELECT DISTINCT a.batch AS batch_a, b.batch AS batch_b FROM d a JOIN d b ON a.repo = 'A' AND b.repo = 'B'"""
 )
 def batch_product(spark, sf):
-    b = matching.batches(_files(spark, sf).select("repo", "dir").distinct(), BATCH)
+    b = matching.batches(_files(spark, sf).select("repo", "dir").distinct(), BATCH, _cut(spark))
     side = lambda r, k: b.filter(F.col("repo") == r).select(F.col("batch").alias(f"batch_{k}")).distinct()
     return side("A", "a").crossJoin(side("B", "b"))
 
 
-@query(f"""WITH {_SUMMARIES}, e AS (SELECT repo || chr(10) || dir || chr(10) || sha256(summary) AS e FROM s), j AS (SELECT string_agg(e, chr(10) ORDER BY e) AS e FROM e) SELECT {_blob(f"'match|{MODEL}|40'", 'e')} AS match_key FROM j""")
+@query(f"""WITH {_SUMMARIES}, e AS (SELECT sha256(repo || chr(10) || dir || chr(10) || sha256(summary)) AS h FROM s), j AS (SELECT concat_ws('-', count(*), {_LANES}) AS e FROM e) SELECT {_blob(f"'match2|{MODEL}|40'", 'e')} AS match_key FROM j""")
 def match_key(spark, sf):
     return matching.match_key(_summaries(spark, sf), MODEL, 40)
 

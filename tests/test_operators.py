@@ -51,8 +51,8 @@ def test_a_prefix_is_not_an_ancestor(spark):
     assert got == {("a/x.py", "k/q.py"): 1, ("ab/y.py", "k/q.py"): 1}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_rounds_equal_one_pass(spark, cut, seed):
+@pytest.mark.parametrize("seed,one_task", [(0, 0), (1, 0), (2, 10), (3, 1000), (4, 1000)])
+def test_greedy_rounds_equal_one_pass(spark, cut, seed, one_task):
     rng = random.Random(seed)
     pairs = sorted({(f"a{rng.randrange(9)}", f"b{rng.randrange(9)}"): rng.choice([0.3, 0.4, 0.5, 0.6]) for _ in range(50)}.items())
     want, used_a, used_b = set(), set(), set()
@@ -62,7 +62,7 @@ def test_greedy_rounds_equal_one_pass(spark, cut, seed):
             used_a.add(a)
             used_b.add(b)
     df = spark.createDataFrame([(a, b, s) for (a, b), s in pairs], "dir_a string, dir_b string, score double")
-    got = matching.heuristic_matches(df, cut).collect()
+    got = matching.heuristic_matches(df, cut, one_task).collect()
     assert {(r["dir_a"], r["dir_b"]) for r in got} == want and len(got) == len(want)
 
 
@@ -82,6 +82,31 @@ def test_similar_names_match_without_a_common_token(spark):
     assert {(r["dir_a"], r["dir_b"]) for r in got} == {("handlers", "handler")} and got[0]["jaccard"] == 0.0
 
 
+def test_similarities_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "io", "core", "utils"]
+    rows = [(r, "/".join(rng.choice(words) for _ in range(rng.randrange(0, 4))) + str(k % 7) * (k % 3), " ".join(rng.choice(words) for _ in range(rng.randrange(0, 4)))) for r in "AB" for k in range(25)]
+    rows = list({(r, d): (r, d, t) for r, d, t in rows}.values())
+    tokens = lambda t: {w for w in t.split() if len(w) > 2}
+    want = {}
+    for _, a, x in (r for r in rows if r[0] == "A"):
+        for _, b, y in (r for r in rows if r[0] == "B"):
+            j = len(tokens(x) & tokens(y)) / len(tokens(x) | tokens(y)) if tokens(x) and tokens(y) else 0.0
+            score = SequenceMatcher(None, a or "root", b or "root").ratio() * 0.35 + j * 0.65
+            if score >= 0.22:
+                want[a, b] = pytest.approx(score)
+    got = {(r["dir_a"], r["dir_b"]): r["score"] for r in matching.similarities(spark.createDataFrame(rows, "repo string, dir string, summary string")).collect()}
+    assert got == want
+
+
+def test_numbers_follow_the_order(spark, cut):
+    df = spark.range(500).selectExpr("id", "(id * 7919) % 501 AS k").repartition(9)
+    got = {r["k"]: r["number"] for r in matching.numbered(df, ["k"], cut).collect()}
+    assert [got[k] for k in sorted(got)] == list(range(500))
+
+
 def test_model_matches_are_validated(spark):
     dirs = spark.createDataFrame([("A", "a"), ("B", "b"), ("A", ""), ("B", "")], "repo string, dir string")
     given = spark.createDataFrame([(1, " a ", "b", None, None), (2, "a", "none", "high", "r"), (3, None, "b", "low", "r"), (4, "(root)", "(root)", "low", "r")], "ord int, dir_a string, dir_b string, confidence string, reason string")
@@ -89,9 +114,9 @@ def test_model_matches_are_validated(spark):
 
 
 @pytest.mark.parametrize("n,size,most", [(40, 40, 1), (41, 40, 2), (7, 0, 1), (9, 3, 3)])
-def test_batches(spark, n, size, most):
+def test_batches(spark, cut, n, size, most):
     rows = [("A", f"{'ab'[k % 2]}{k:03d}", "s") for k in range(n)]
-    got = {r["dir"]: r["batch"] for r in matching.batches(spark.createDataFrame(rows, "repo string, dir string, summary string"), size).collect()}
+    got = {r["dir"]: r["batch"] for r in matching.batches(spark.createDataFrame(rows, "repo string, dir string, summary string"), size, cut).collect()}
     assert got == {d: (k // size if size else 0) for k, (_, d, _) in enumerate(sorted(rows, key=lambda r: r[1]))}
     assert max(got.values()) == most - 1
 
@@ -112,15 +137,19 @@ def test_parsing_of_replies(spark):
         _item(func_a={}, composite_score=19),
         _item(scores={"naming_convention": "n/a"}),
         _item(scores={"data_structure": None}),
+        _item(composite_score=3_000_000_000, func_a="f", scores="none"),
+        "no item",
+        None,
     ]
     replies = [(1, "a", "b", json.dumps({"similar_functions": items})), (2, "c", "d", "[1]"), (3, "e", "f", "not json"), (4, "g", "h", '{"similar_functions": {}}'), (5, "i", "j", None)]
     df = spark.createDataFrame(replies, "ord int, file_a string, file_b string, reply string")
     rows = {r["pos"]: r for r in comparing.parse_similar(df).collect()}
-    assert set(rows) == {0, 1, 3, 4, 6}
+    assert set(rows) == {0, 1, 3, 4, 6, 9}
+    assert rows[9]["composite_score"] == 3_000_000_000 and rows[9]["name_a"] == "unknown"
     assert [rows[k]["composite_score"] for k in (0, 1, 3, 4, 6)] == [68, 75, 1, 50, 19]
     assert rows[3]["similarity_level"] == "very_low" and rows[4]["algorithm_logic"] == 140 and rows[4]["data_structure"] == 0
     assert rows[6]["name_a"] == "unknown" and rows[6]["start_a"] == 0
-    assert {r["pos"] for r in comparing.parse_similar(df, 20).collect()} == {0, 1, 4}
+    assert {r["pos"] for r in comparing.parse_similar(df, 20).collect()} == {0, 1, 4, 9}
 
 
 def test_dedup_and_distribution(spark):
