@@ -45,7 +45,15 @@ OPENERS = (
 #: Repeated groups are possessive: others take a stack frame for each repetition, and a long text of names would overflow the stack.
 #: What begins a match is looked at first, as looking back is dear.
 NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]++(?:[.,:/][0-9]++)*+"
-NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'-])(?!(?i:{OPENERS})(?![\p{{L}}'-]))\p{{Lu}}\p{{L}}*\p{{Ll}}[\p{{L}}'-]*+(?: \p{{Lu}}\p{{L}}*\p{{Ll}}[\p{{L}}'-]*+)*+"
+def _opening(words: str) -> str:
+    """A pattern of the words with capitals, by their first letters, so that one that isn't among them is told apart soon."""
+    by: dict[str, set[str]] = {}
+    for w in words.split("|"):
+        by.setdefault(w[0].upper(), set()).add(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by.items()))
+
+
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'-])(?!(?:{_opening(OPENERS)})(?![\p{{L}}'-]))\p{{Lu}}\p{{L}}*\p{{Ll}}[\p{{L}}'-]*+(?: \p{{Lu}}\p{{L}}*\p{{Ll}}[\p{{L}}'-]*+)*+"
 _N, _A, _U, _END = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
@@ -60,29 +68,37 @@ class Decontamination:
     broadcast_rows: int = 500_000
 
 
-def _slots(text: Column, valued: bool, names: bool = True) -> Column:
-    """Text with its slots marked; ``valued``: and their values kept between marks."""
+def _clean(text: Column) -> Column:
+    return F.regexp_replace(text, "[\u0001-\u0004]", " ")
+
+
+def _numbered(text: Column, valued: bool) -> Column:
+    """Numbers and units marked; ``valued``: and their values kept between marks."""
     value, end = ("$0", _END) if valued else ("", "")
-    t = F.regexp_replace(text, "[\u0001-\u0004]", " ")
-    if names:
-        bare = F.regexp_replace(t, NAME, f" {_A} ")
-        t = F.when(F.length(bare) * 2 >= F.length(t), F.regexp_replace(t, NAME, f" {_A}{value}{end} ") if valued else bare).otherwise(t)
-    t = F.regexp_replace(t, NUMBER, f" {_N}{value}{end} ")
+    t = F.regexp_replace(text, NUMBER, f" {_N}{value}{end} ")
     mark = f"{_N}[^{_END}{_N}]*{_END}" if valued else _N
     unit = f"$1 {_U}$2{end} " if valued else f"$1 {_U} "
     return F.regexp_replace(t, rf"({mark})[ -]{{0,3}}(?i:({UNITS}))(?![\p{{L}}\p{{N}}])", unit)
 
 
-def _template(text: Column) -> Column:
-    """Tokens of the template; marks stand for slots."""
-    t = F.lower(_slots(text, False))
-    t = F.trim(F.regexp_replace(t, rf"[^\p{{L}}{_N}-{_U}]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+def _template_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id and h, the hash of each token of the template; marks stand for slots.
+
+    Step by step, since an expression that a CASE names twice is computed twice.
+    """
+    d = docs.select("doc_id", _clean(F.col("text")).alias("__c"))
+    d = d.withColumn("__b", F.regexp_replace("__c", NAME, f" {_A} "))
+    d = d.select("doc_id", F.when(F.length("__b") * 2 >= F.length("__c"), F.col("__b")).otherwise(F.col("__c")).alias("__s"))
+    words = F.trim(F.regexp_replace(F.lower(_numbered(F.col("__s"), False)), rf"[^\p{{L}}{_N}-{_U}]+", " "))
+    return d.select("doc_id", F.transform(F.split(words, " "), lambda x: F.xxhash64(x)).alias("h"))
 
 
 def _valued(text: Column, names: bool = True) -> Column:
-    """The same tokens; slots carry their values."""
-    return F.regexp_extract_all(F.lower(_slots(text, True, names)), F.lit(rf"[{_N}-{_U}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
+    """The tokens of the template; slots carry their values."""
+    t = _clean(text)
+    if names:
+        t = F.when(F.length(F.regexp_replace(t, NAME, f" {_A} ")) * 2 >= F.length(t), F.regexp_replace(t, NAME, f" {_A}$0{_END} ")).otherwise(t)
+    return F.regexp_extract_all(F.lower(_numbered(t, True)), F.lit(rf"[{_N}-{_U}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
 
 
 def _is_slot(x: Column) -> Column:
@@ -167,8 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Dec
     small = windows.count() <= p.broadcast_rows
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
 
-    words = base.select("doc_id", F.transform(_template(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    hashed = words.select("doc_id", F.explode(F.array_distinct(_windows(F.col("h"), w))).alias("hash"))
+    hashed = _template_hashes(base).select("doc_id", F.explode(F.array_distinct(_windows(F.col("h"), w))).alias("hash"))
     joined = hashed.join(F.broadcast(windows) if small else windows, "hash").select("doc_id", *item, "hash").distinct()
     shared = joined.groupBy("doc_id", *item).agg(F.count("*").alias("n"))
     pairs = shared.join(sizes, item).filter(F.col("n") >= F.col("n_windows") * p.share).select("doc_id", *item, "n_windows")
