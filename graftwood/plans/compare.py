@@ -7,6 +7,7 @@ import os
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,11 @@ from ..config import CompareConfig
 from ..functions.text import PLACEHOLDER_DIR, content_sha
 from ..functions.tokenizers import DIR_INPUT, SUMMARY_INPUT, PatternTokenizer, token_count, truncated
 from ..operators import comparing, matching, summaries, tree
-from ..schema import CACHE_DIR, CACHE_FILE, CACHE_PAIR
+from ..schema import CACHE_DIR, CACHE_FILE, CACHE_PAIR, CACHE_REPLY
 from ..sources.tree import scan_tree
 from ..streaming.checkpoints import Checkpoint
-from .report import Report, save, save_pairs, save_summaries
+from ..streaming.workspace import hadoop, located, materialize, write_text
+from .report import Report, pairs_text, rendered, summaries_text
 
 log = logging.getLogger(__name__)
 _NO_FILES, _NO_CHILDREN = "(no files)", "(no subdirectories)"
@@ -31,24 +33,43 @@ class Comparison:
 
     def __init__(self, spark: SparkSession, config: CompareConfig, make_backend: Callable[[int], Backend], tokenizer=PatternTokenizer()) -> None:
         self.spark, self.config, self.make, self.tokenizer = spark, config, make_backend, tokenizer
-        self.work = os.path.join(os.path.abspath(config.output_dir), "work", uuid.uuid4().hex)
+        self.out = located(config.output_dir)
+        self.work = f"{self.out}/work/{uuid.uuid4().hex}"
         self.calls, self.seq = 0, time.time_ns()
-        at = lambda name: os.path.join(os.path.abspath(config.output_dir), "cache", name)
+        at = lambda name: f"{self.out}/cache/{name}"
         self.file_cache = Checkpoint(spark, at("files"), CACHE_FILE, ["hash"])
         self.dir_cache = Checkpoint(spark, at("dirs"), CACHE_DIR + ", repo string", ["repo", "dir"])
         self.pair_cache = Checkpoint(spark, at("pairs"), CACHE_PAIR, ["key"])
         self.match_cache = Checkpoint(spark, at("matches"), "v int, key string, ord int, dir_a string, dir_b string, confidence string, reason string, method string", ["key", "ord"])
+        self.replies = Checkpoint(spark, at("replies"), CACHE_REPLY, ["key"])
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = os.path.join(self.work, uuid.uuid4().hex)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return materialize(df, "stage", self.work)
 
     def ask(self, requests: DataFrame) -> DataFrame:
-        parts = max(1, min(self.config.max_in_flight, self.spark.sparkContext.defaultParallelism))
-        answers = self.cut(answer_all(requests, self.make, parts, self.config.max_in_flight))
-        self.calls += answers.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
-        return answers
+        """(id, reply, calls, error) of ``requests`` (id, kind, system, user).
+
+        Requests go out ``flush_every`` at a time, and the good replies of each turn
+        are put on record before the next; so a crash loses one turn at most, and a
+        request that has a reply on record isn't sent again.
+        """
+        c = self.config
+        key = F.sha2(F.concat_ws("\u0000", F.col("kind"), F.lit(c.model), F.col("system"), F.col("user")), 256)
+        keyed = self.cut(requests.withColumn("key", key))
+        had = self.cut(self.replies.load().select("key", F.col("reply").alias("had")).join(keyed.select("key").distinct(), "key", "left_semi"))
+        todo = self.cut(keyed.join(had, "key", "left_anti"))
+        turns = -(-todo.count() // max(1, c.flush_every))
+        parts = max(1, min(c.max_in_flight, self.spark.sparkContext.defaultParallelism))
+        answers = [keyed.join(had, "key").select("id", F.col("had").alias("reply"), F.lit(0).alias("calls"), F.lit(None).cast("string").alias("error"))]
+        turn = F.pmod(F.xxhash64("id"), F.lit(max(1, turns)))
+        for k in range(turns):
+            now = todo.filter(turn == k)
+            got = self.cut(answer_all(now.select("id", "kind", "system", "user"), self.make, parts, c.max_in_flight))
+            good = now.select("id", "key", "kind").join(got.filter("error is null"), "id")
+            self.replies.append(good.select(F.lit(self.replies.version).alias("v"), "key", "kind", "reply"), self.seq)
+            self.calls += got.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
+            answers.append(got)
+        return self.cut(reduce(DataFrame.union, answers))
 
     # files
 
@@ -146,7 +167,7 @@ class Comparison:
         if not had.isEmpty():
             return self.cut(had.select("ord", "dir_a", "dir_b", "confidence", "reason", "method").filter("dir_a is not null"))
         several = size > 0 and max(n.values()) > size
-        text = matching.summary_lines(own.join(matching.batches(own, size if several else 0), ["repo", "dir"]), ["repo", "batch"])
+        text = matching.summary_lines(own.join(matching.batches(own, size if several else 0, self.cut), ["repo", "dir"]), ["repo", "batch"])
         side = lambda r, k: text.filter(F.col("repo") == r).select(F.col("batch").alias(f"b{k}"), F.col("text").alias(f"t{k}"))
         pairs = side("A", "a").crossJoin(side("B", "b"))  # every batch of A meets every batch of B: the prompts to send
         ident = F.concat(F.lpad(F.col("ba").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("bb").cast("string"), 9, "0"))
@@ -163,15 +184,15 @@ class Comparison:
         if several or self.config.force_one_to_one:
             valid = matching.one_to_one(valid, self.cut)
         out = self.cut(valid.withColumn("method", F.lit("model")))
-        self.match_cache.append(out.select(F.lit(1).alias("v"), F.lit(key).alias("key"), *out.columns), self.seq)
+        # a match of nothing is a match too: one row without directories stands for it
+        none = self.spark.range(1).select(F.lit(-1).alias("ord"), *(F.lit(None).cast("string").alias(k) for k in ("dir_a", "dir_b", "confidence", "reason")), F.lit("model").alias("method"))
+        kept = none if out.isEmpty() else out
+        self.match_cache.append(kept.select(F.lit(1).alias("v"), F.lit(key).alias("key"), *out.columns), self.seq)
         return out
 
-    @staticmethod
-    def _ordered(rows: DataFrame) -> DataFrame:
-        """``o`` made into a running number; matches are as many as directories at most, a small table."""
-        from pyspark.sql import Window
-
-        return rows.withColumn("ord", F.row_number().over(Window.orderBy("o"))).drop("o").select("ord", "dir_a", "dir_b", "confidence", "reason")
+    def _ordered(self, rows: DataFrame) -> DataFrame:
+        """``o`` made into a running number from 1 on."""
+        return matching.numbered(rows, ["o"], self.cut).withColumn("ord", (F.col("number") + 1).cast("int")).select("ord", "dir_a", "dir_b", "confidence", "reason")
 
     # functions
 
@@ -196,7 +217,20 @@ class Comparison:
         return self.cut(joined.select("ord", "file_a", "file_b", F.coalesce("cached", "reply").alias("reply"), status.alias("status")))
 
     def run(self, path_a: str, path_b: str) -> Report:
+        for cache in (self.file_cache, self.dir_cache, self.pair_cache, self.match_cache):
+            cache.compact()
+        try:
+            report = self._run(path_a, path_b)
+        finally:
+            fs, work = hadoop(self.spark, self.work)
+            fs.delete(work, True)
+        # every stage has its own records now
+        self.replies.clear()
+        return report
+
+    def _run(self, path_a: str, path_b: str) -> Report:
         c = self.config
+        write = lambda name, text: write_text(self.spark, f"{self.out}/{name}", text)
         files = self.cut(scan_tree(self.spark, path_a, "A", c).union(scan_tree(self.spark, path_b, "B", c)))
         n = {r["repo"]: r["total_files"] for r in tree_totals(files).collect()}
         report = Report(os.path.realpath(path_a), os.path.realpath(path_b), n.get("A", 0), n.get("B", 0))
@@ -204,12 +238,12 @@ class Comparison:
         by_repo: dict[str, dict[str, str]] = {"A": {}, "B": {}}
         for r in dirs.orderBy("repo", "dir").toLocalIterator():
             by_repo[r["repo"]][r["dir"]] = r["summary"]
-        save_summaries(c.output_dir, by_repo["A"], by_repo["B"])
+        write("dir_summaries.json", summaries_text(by_repo["A"], by_repo["B"]))
         matches = self.match(dirs)
         report.matches = [r.asDict() for r in matches.orderBy("ord").select("dir_a", "dir_b", "confidence", "reason").collect()]
         if not c.shallow:
             pairs = self.cut(comparing.file_pairs(matches, files))
-            save_pairs(c.output_dir, ((r["file_a"], r["file_b"]) for r in pairs.orderBy("ord", "file_a", "file_b").toLocalIterator()))
+            write("compared_pairs.txt", pairs_text((r["file_a"], r["file_b"]) for r in pairs.orderBy("ord", "file_a", "file_b").toLocalIterator()))
             replies = self.compare(pairs, files)
             for r in replies.groupBy("status").count().collect():
                 log.info("pairs %s: %d", r["status"], r["count"])
@@ -217,7 +251,8 @@ class Comparison:
             report.functions = [r.asDict() for r in found.orderBy("ord", "file_a", "file_b", "pos").toLocalIterator()]
         report.calls = self.calls
         form = c.output_format
-        save(report, c.output_path or os.path.join(c.output_dir, f"report.{'json' if form == 'json' else 'md'}"), form)
+        path = located(c.output_path) if c.output_path else f"{self.out}/report.{'json' if form == 'json' else 'md'}"
+        write_text(self.spark, path, rendered(report, form))
         return report
 
 

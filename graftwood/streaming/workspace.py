@@ -62,3 +62,18 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     path = f"{folder or application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, on any file system that Spark knows; a local path is a file of the driver."""
+    if "://" not in path:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    fs, at = hadoop(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

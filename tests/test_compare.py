@@ -164,3 +164,44 @@ def test_http_asks_again_for_json():
     assert len(sent[2]["messages"]) == 6
     backend, _, _ = _http(["no"])
     assert backend.ask("file_summary", "s", "u", 9).calls == 3
+
+
+@dataclass(frozen=True)
+class Dying:
+    """Offline; notes each request in a file, and breaks the run off after some."""
+
+    log: str
+    most: int
+
+    def ask(self, kind, system, user, max_tokens):
+        with open(self.log, "a+") as f:
+            f.seek(0)
+            n = len(f.readlines())
+            if n >= self.most:
+                raise RuntimeError("the machine is gone")
+            f.write(f"{kind}\n")
+        return OfflineBackend().ask(kind, system, user, max_tokens)
+
+
+def test_a_killed_run_resumes_without_paying_again(spark, trees):
+    a, b, tmp = trees
+    whole = Comparison(spark, _config(tmp, output_dir=str(tmp / "whole"), max_in_flight=1, shallow=True), lambda n: OfflineBackend()).run(a, b)
+    config = _config(tmp, max_in_flight=1, flush_every=1, shallow=True)
+    with pytest.raises(Exception, match="the machine is gone"):
+        Comparison(spark, config, lambda n: Dying(str(tmp / "asked"), 3)).run(a, b)
+    recorded = Comparison(spark, config, lambda n: OfflineBackend()).replies.load().count()
+    assert recorded == 3  # each reply was on record before the next request
+    rest = Comparison(spark, config, lambda n: OfflineBackend())
+    report = rest.run(a, b)
+    assert report.calls == whole.calls - recorded and report.matches == whole.matches
+    assert rest.replies.load().count() == 0 and not list((tmp / "out/work").glob("*"))
+
+
+def test_a_match_of_nothing_is_kept(spark, trees):
+    a, b, tmp = trees
+    replies = {"file_summary": '{"purpose": "f"}', "dir_summary": '{"purpose": "d"}', "dir_match": '{"matched_dirs": []}', "func_compare": '{"similar_functions": []}'}
+    config = _config(tmp, shallow=True, output_dir=(tmp / "url").as_uri())  # the output folder may be a URL
+    first = Comparison(spark, config, lambda n: ReplayBackend(replies)).run(a, b)
+    again = Comparison(spark, config, lambda n: ReplayBackend({})).run(a, b)
+    assert first.calls > 0 and again.calls == 0 and first.matches == again.matches == []
+    assert json.loads((tmp / "url/report.json").read_text())["compare_results"] == []

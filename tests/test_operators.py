@@ -194,6 +194,16 @@ def test_checkpoint_keeps_the_last_sound_record(spark, tmp_path):
     assert not table.compact()
 
 
+def test_a_broken_compaction_loses_nothing(spark, tmp_path):
+    at = tmp_path / "cache"
+    table = Checkpoint(spark, str(at), "v int, model string, hash string, summary string", ["hash"])
+    table.append(spark.createDataFrame([(1, "m", f"h{k % 5}", str(k)) for k in range(60)], table.schema), 1)
+    at.rename(f"{at}.old")  # broke off after the old table was put aside
+    assert table.load("m").count() == 5 and at.exists()
+    assert table.compact() and table.load("m").count() == 5
+    assert [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["cache"]
+
+
 def test_pairs_with_an_empty_side_are_skipped(spark):
     files = _files(spark, "a/x.py", content="").union(spark.createDataFrame([("B", "k/q.py", "k", "go", 1, "z"), ("B", "k/n.py", "k", "go", 0, None)], FILES))
     pairs = spark.createDataFrame([("a/x.py", "k/q.py", 1)], "file_a string, file_b string, ord int")
