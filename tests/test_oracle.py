@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from graftwood.plans import queries
+from graftwood.plans import queries, replayed  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 
