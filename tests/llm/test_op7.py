@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,3 +127,25 @@ def test_edges(edges):
     assert all(r["kept"] and r["n_shingles"] == 0 and r["component_id"] == k for k in (3, 4, 5) for r in by[k])
     assert all(r["kept"] or r["component_id"] is not None for r in by[None])
     assert near_duplicates(edges.limit(0), NearDedup()).count() == 0
+
+
+def test_every_link_of_a_larger_table(spark, words):
+    """All links of the rows whose id is divisible by 50, against all rows, by brute force over full sets."""
+    p = NearDedup(shingle=3, num=85, den=100)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
+    sets = lambda w: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+    holds, sizes = {}, {}
+    for i, w in rows:
+        if i % 50 == 0:
+            own = sets(w)
+            sizes[i] = len(own)
+            for s in own:
+                holds.setdefault(s, []).append(i)
+    links = set()
+    for i, w in rows:
+        own = sets(w)
+        both = Counter(q for s in own for q in holds.get(s, ()))
+        links |= {(q, i) for q, n in both.items() if q != i and 100 * n >= 85 * (sizes[q] + len(own) - n)}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, p).collect()}
+    assert len(links) > 50 and not [(a, b) for a, b in links if got[a] != got[b]]
