@@ -25,6 +25,8 @@ from ..streaming.workspace import hadoop, located, materialize, write_text
 from .report import Report, pairs_text, rendered, summaries_text
 
 log = logging.getLogger(__name__)
+#: Turns of requests whose prompts are made together.
+TURNS_AT_ONCE = 50
 _NO_FILES, _NO_CHILDREN = "(no files)", "(no subdirectories)"
 
 
@@ -46,29 +48,36 @@ class Comparison:
     def cut(self, df: DataFrame) -> DataFrame:
         return materialize(df, "stage", self.work)
 
-    def ask(self, requests: DataFrame) -> DataFrame:
+    def ask(self, requests: DataFrame, prompt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """(id, reply, calls, error) of ``requests`` (id, kind, system, user).
 
-        Requests go out ``flush_every`` at a time, and the good replies of each turn
-        are put on record before the next; so a crash loses one turn at most, and a
-        request that has a reply on record isn't sent again.
+        With ``prompt``, ``requests`` only hold ids, which are keys, and what that
+        function makes prompts of; it is called for a bounded number of requests at
+        a time, so prompts of many pairs of files never exist at once.  Requests go
+        out ``flush_every`` at a time, and the good replies of each turn are put on
+        record before the next; so a crash loses one turn at most, and a request
+        that has a reply on record isn't sent again.
         """
         c = self.config
-        key = F.sha2(F.concat_ws("\u0000", F.col("kind"), F.lit(c.model), F.col("system"), F.col("user")), 256)
-        keyed = self.cut(requests.withColumn("key", key))
+        text = F.concat_ws("\u0000", F.col("kind"), F.lit(c.model), F.col("system"), F.col("user")) if prompt is None else None
+        keyed = self.cut(requests.withColumn("key", F.col("id") if text is None else F.sha2(text, 256)))
         had = self.cut(self.replies.load().select("key", F.col("reply").alias("had")).join(keyed.select("key").distinct(), "key", "left_semi"))
         todo = self.cut(keyed.join(had, "key", "left_anti"))
         turns = -(-todo.count() // max(1, c.flush_every))
         parts = max(1, min(c.max_in_flight, self.spark.sparkContext.defaultParallelism))
         answers = [keyed.join(had, "key").select("id", F.col("had").alias("reply"), F.lit(0).alias("calls"), F.lit(None).cast("string").alias("error"))]
-        turn = F.pmod(F.xxhash64("id"), F.lit(max(1, turns)))
-        for k in range(turns):
-            now = todo.filter(turn == k)
-            got = self.cut(answer_all(now.select("id", "kind", "system", "user"), self.make, parts, c.max_in_flight))
-            good = now.select("id", "key", "kind").join(got.filter("error is null"), "id")
-            self.replies.append(good.select(F.lit(self.replies.version).alias("v"), "key", "kind", "reply"), self.seq)
-            self.calls += got.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
-            answers.append(got)
+        todo = todo.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(max(1, turns))))
+        for start in range(0, turns, TURNS_AT_ONCE):
+            some = todo.filter(F.col("turn").between(start, start + TURNS_AT_ONCE - 1))
+            keys = some.select("id", "key", "turn")
+            prompts = some if prompt is None else self.cut(prompt(some).join(some.select("id", "turn"), "id"))
+            for k in range(start, min(turns, start + TURNS_AT_ONCE)):
+                now = prompts.filter(F.col("turn") == k).select("id", "kind", "system", "user")
+                got = self.cut(answer_all(now, self.make, parts, c.max_in_flight))
+                good = keys.filter(F.col("turn") == k).join(got.filter("error is null"), "id")
+                self.replies.append(good.select(F.lit(self.replies.version).alias("v"), "key", "reply"), self.seq)
+                self.calls += got.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
+                answers.append(got)
         return self.cut(reduce(DataFrame.union, answers))
 
     # files
@@ -205,8 +214,14 @@ class Comparison:
         code = files.select("repo", "path", "content")
         side = lambda r, k: code.filter(F.col("repo") == r).select(F.col("path").alias(f"file_{k}"), F.col("content").alias(f"code_{k}"))
         user = compare_user(F.col("file_a"), F.col("code_a"), F.col("file_b"), F.col("code_b"))
-        requests = todo.join(side("A", "a"), "file_a").join(side("B", "b"), "file_b").select(F.col("key").alias("id"), F.lit("func_compare").alias("kind"), F.lit(compare_system(c.similarity_threshold)).alias("system"), user.alias("user"))
-        answers = self.ask(requests.dropDuplicates(["id"]))
+
+        def prompt(some: DataFrame) -> DataFrame:
+            names = some.select("id", "file_a", "file_b")
+            few = c.flush_every * TURNS_AT_ONCE <= 100_000
+            joined = side("A", "a").join(F.broadcast(names) if few else names, "file_a").join(side("B", "b"), "file_b")
+            return joined.select("id", F.lit("func_compare").alias("kind"), F.lit(compare_system(c.similarity_threshold)).alias("system"), user.alias("user"))
+
+        answers = self.ask(todo.select(F.col("key").alias("id"), "file_a", "file_b").dropDuplicates(["id"]), prompt)
         # a reply of the wrong shape spoils its pair and isn't kept
         sound = F.try_variant_get(F.try_parse_json("reply"), "$", "map<string, variant>").isNotNull()
         good = answers.filter(F.col("error").isNull() & sound).select(F.col("id").alias("key"), "reply")
