@@ -51,8 +51,9 @@ _TABLE = _CELLS | _ROWS | _GROUPS | {"table", "caption", "colgroup"}
 #: Blocks that end an open list item or definition looks through.
 _LOOSE = frozenset({"address", "div", "p"})
 
-# What class and id names say.  A name is cut into its words; STATES as the first word make it say nothing.
+# What class and id names say.  A name is cut into its words; with one of STATES in front, or of SETTINGS anywhere, it says nothing.
 STATES = frozenset("has no with without not".split())
+SETTINGS = frozenset("open opened closed enabled disabled allowed accepted status on off".split())
 #: These say boilerplate whatever stands beside them.
 SURE = frozenset("adsbygoogle adsense adslot adbox adunit advert adverts advertising advertisement advertisements sponsored breadcrumb breadcrumbs navbar navigation pagination disqus cookie cookies gdpr newsletter masthead cookiebar".split())
 #: These only if every other word of the name is one of them too, or neutral.
@@ -113,7 +114,7 @@ def _named(names: str) -> int:
     out = FREE
     for name in names.split():
         words = [w.lower() for w in _WORDS_OF.findall(name)]
-        if not words or words[0] in STATES:
+        if not words or words[0] in STATES or not SETTINGS.isdisjoint(words):
             continue
         if any(w in SURE or w.startswith("comment") and w not in ("commented", "commentary") for w in words):
             return GONE

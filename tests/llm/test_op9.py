@@ -60,6 +60,7 @@ def test_pages(html, want):
         (page(f"<div class='site sidebar-left'><article><p>{LONG}</p></article><div class='sidebar'><p>{TEXT}</p></div></div>"), LONG),
         (page(f"<form id='aspnetForm'><div><p>{LONG}</p><p>{TEXT}</p></div></form>"), f"{LONG} {TEXT}"),
         (page(f"<article><div class='entry-header'><h1>Own head</h1></div><p>{LONG}</p><h2 id='related-work'>More</h2><p>{TEXT}</p></article>"), f"Own head {LONG} More {TEXT}"),
+        (page(f"<div class='post comments-open'><p>{LONG}</p></div><div class='entry comment-status-closed cookies-accepted'><p>{TEXT}</p></div>"), f"{LONG} {TEXT}"),
         # a paragraph that is mostly a link
         (page(f"<article><p>{LONG}</p><p>See: <a href='x'>{TEXT}</a></p></article>"), f"{LONG} See: {TEXT}"),
         # reader comments by the stem of their name
