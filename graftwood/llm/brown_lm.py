@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .textvec import Words, tally, text_chunks
+from .textvec import CHUNK, Words, tally, text_chunks
 
 #: Hash of the token that ends each text.
 END = np.uint64(1)
+#: Tokens of class sequences that are scored or counted at once; bounds the temporary arrays (about 60 bytes a token).
+SEQUENCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -239,7 +241,7 @@ def _sequences(p: BrownLM, model):
         head, counts, classes, by_ending = m["head"], m["counts"], m["head_cls"], m["cls"][len(m["top"]) :]
         pid, seq = TaskContext.get().partitionId(), 0
         log_head = np.log10(counts + 1.0)
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, limit=CHUNK):
             h, last, doc, n = _tokens(texts)
             at = np.minimum(np.searchsorted(head, h), len(head) - 1)
             known = (head[at] == h) & (counts[at] > 0)
@@ -298,9 +300,11 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sequence_chunks(batches: Iterator[pa.RecordBatch], end: int):
-    """(batch, classes of its tokens, classes before them, text of each); each text ends with the end token, so the class before its first is that."""
-    for batch in batches:
-        seqs = batch.column(batch.schema.get_field_index("seq")).to_pylist()
+    """(batch, classes of its tokens, classes before them, text of each) for slices of about SEQUENCE tokens.
+
+    Each text ends with the end token, so the class before its first is that.
+    """
+    for batch, seqs in text_chunks(batches, "seq", SEQUENCE):
         c = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
         yield batch, c, np.concatenate(([end], c[:-1]))[: len(c)], np.repeat(np.arange(len(seqs)), list(map(len, seqs)))
 
