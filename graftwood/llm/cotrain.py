@@ -25,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from .html_text import STOP_WORDS
-from .scratch import materialize
-from .textvec import NON_LETTER, Words, text_chunks
+from .scratch import bounded_batches, materialize
+from .textvec import CHUNK, NON_LETTER, Words, text_chunks
 
 SHAPE = 14
 _SYMBOL = np.zeros(256, bool)
@@ -185,10 +186,10 @@ def _labelled(labels: DataFrame, p: CoTraining) -> DataFrame:
     return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled_rows)
 
 
-def _view(docs: DataFrame) -> DataFrame:
+def _view(docs: DataFrame, *more: Column) -> DataFrame:
     have = {c.lower(): c for c in docs.columns}
     kinds = {"doc_id": "long", "source": "string", "lang": "string", "n_chars": "long", "text": "string"}
-    return docs.select(*((docs[have[c]] if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in (*_META, "text")))
+    return docs.select(*((docs[have[c]] if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in (*_META, "text")), *more)
 
 
 _FOLD = "pmod(xxhash64(doc_id, 9L), 5)"  # rows of fold 0 calibrate
@@ -226,11 +227,28 @@ def _featured(selected: np.ndarray, p: CoTraining, more: tuple[str, ...] = ()):
     of = _features(selected, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            shapes, sets = of(texts)
+        for batch, texts in text_chunks(batches, limit=CHUNK):
             cols = [batch.column(batch.schema.get_field_index(c)) for c in (*_META, *more)]
-            own = [pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.astype(np.int16).tobytes() for x in sets], pa.binary())]
-            yield pa.record_batch([*cols[:4], *own, *cols[4:]], names=[*_META, "shape", "words", *more])
+            yield pa.record_batch([*cols[:4], *_packed(*of(texts)), *cols[4:]], names=[*_META, "shape", "words", *more])
+
+    return run
+
+
+def _packed(shapes: np.ndarray, sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.astype(np.int16).tobytes() for x in sets], pa.binary())]
+
+
+#: Columns of features beside those of the documents.
+_SHAPE, _WORDS = "__cotrain_shape", "__cotrain_words"
+
+
+def _beside(selected: np.ndarray, p: CoTraining, text: str):
+    """Documents as they are, with the shape and the places of the selected words of each text in two more columns."""
+    of = _features(selected, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, text, CHUNK):
+            yield pa.record_batch([*batch.columns, *_packed(*of(texts))], names=[*batch.schema.names, _SHAPE, _WORDS])
 
     return run
 
@@ -314,8 +332,13 @@ def _matrices(table: pa.Table, m: dict, p: CoTraining) -> dict[str, np.ndarray]:
     return {"text": _text_matrix(shapes, sets, m), "meta": _meta_of(batch, p)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> tuple[dict | None, DataFrame | None]:
-    """(model, features of all documents); None where the labels don't show both classes."""
+def _narrow(whole: DataFrame) -> DataFrame:
+    """The features alone of documents with their features beside them."""
+    return _view(whole, whole[_SHAPE].alias("shape"), whole[_WORDS].alias("words")).drop("text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining(), whole: bool = False) -> tuple[dict | None, DataFrame | None]:
+    """(model, features of all documents); None where the labels don't show both classes.  ``whole``: the features stand beside all columns of the documents."""
     view = _view(docs)
     known = _labelled(labels, p)
     # one row for each id, however often the table repeats it
@@ -335,7 +358,13 @@ def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> tup
     m: dict = {"mean": shapes[learn].mean(0), "sd": shapes[learn].std(0) + 1e-6, "selected": selected, "taken": set(table["doc_id"].to_pylist())}
     views = _matrices(table, m, p)
     train = {v: (x[learn], y[learn].astype(float)) for v, x in views.items()}
-    features = materialize(view.mapInArrow(_featured(selected, p), _FEATURES), "cotrain-features")
+    with bounded_batches(docs.sparkSession):
+        if whole:
+            text = next(c for c in docs.columns if c.lower() == "text")
+            made = materialize(docs.mapInArrow(_beside(selected, p, text), StructType([*docs.schema.fields]).add(_SHAPE, BinaryType()).add(_WORDS, BinaryType())), "cotrain-whole")
+        else:
+            made = materialize(view.mapInArrow(_featured(selected, p), _FEATURES), "cotrain-features")
+    features = _narrow(made) if whole else made
     order = Window.partitionBy("view", "up", "stratum").orderBy(F.desc("sure"), "tie", "doc_id", "words", "shape")
     schema = f"{_FEATURES}, view string, up boolean, sure double, stratum int, tie long"
     for turn in range(p.rounds + 1):
@@ -364,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> tup
     z = np.stack([_logit(views[v][check], m[v]) / 4 for v in views], 1)
     m["both"] = logistic(z, y[check].astype(float), 1e-3)
     del m["taken"]
-    return m, features
+    return m, made
 
 
 def _calibrated(m: dict, zt: np.ndarray, zm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,16 +402,6 @@ def _calibrated(m: dict, zt: np.ndarray, zm: np.ndarray) -> tuple[np.ndarray, np
     return sigmoid(_logit(zt[:, None], m["text_cal"])), sigmoid(_logit(zm[:, None], m["meta_cal"])), sigmoid(_logit(np.stack((zt, zm), 1), m["both"]))
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], m: dict, p: CoTraining, named: dict[str, str]):
-    """Batches of documents with the combined chance of each row."""
-    of = _features(m["selected"], p)
-    for batch, texts in text_chunks(batches, named["text"], 1 << 20):
-        column = lambda c: batch.column(batch.schema.get_field_index(named[c])).to_pylist() if c in named else [None] * len(texts)
-        shapes, sets = of(texts)
-        meta = _meta_matrix(column("source"), column("lang"), column("n_chars"), p)
-        yield batch, _calibrated(m, _text_logit(shapes, sets, m), _logit(meta, m["meta"]))[2]
-
-
 def score(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
     """doc_id, p_text, p_meta, score, kept of every row (kept: score >= threshold).
 
@@ -407,15 +426,21 @@ def score(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with all their columns, without a shuffle."""
-    m, _ = fit(docs, labels, p)
+    """The rows of ``docs`` that ``score`` keeps, with all their columns, without a shuffle.
+
+    The documents are written once, with their features beside them; so each text
+    is read for its features once, and only these meet Python again.
+    """
+    m, made = fit(docs, labels, p, whole=True)
     if m is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(m)
-    named = {c.lower(): c for c in docs.columns if c.lower() in ("source", "lang", "n_chars", "text")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in _predicted(batches, sent.value, p, named):
-            yield batch.filter(pa.array(c >= p.threshold))
+    def run(source: pa.Array, lang: pa.Array, n_chars: pa.Array, shape: pa.Array, words: pa.Array) -> pa.Array:
+        batch = pa.record_batch([source, lang, n_chars, shape, words], names=["source", "lang", "n_chars", "shape", "words"])
+        return pa.array(_calibrated(sent.value, _text_logit(*_read_features(batch), sent.value), _logit(_meta_of(batch, p), sent.value["meta"]))[2] >= p.threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    have = {c.lower(): made[c] for c in made.columns}
+    kinds = {"source": "string", "lang": "string", "n_chars": "long"}
+    told = F.arrow_udf(run, "boolean")(*(have.get(c, F.lit(None)).cast(t) for c, t in kinds.items()), made[_SHAPE], made[_WORDS])
+    return made.filter(told).drop(_SHAPE, _WORDS)

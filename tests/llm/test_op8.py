@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from graftwood.llm.cotrain import CoTraining, keep_good, logistic, score, sigmoid
+from graftwood.llm.scratch import bounded_batches
 
 
 def test_newton_fit_is_the_optimum():
@@ -57,3 +59,26 @@ def test_missing_metadata_columns(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert score(docs, labels).count() == docs.count()
+
+
+def test_whole_texts_are_not_read_again_to_judge_them(spark, documents, sf):
+    """Rejected and kept rows are told apart by their features; texts meet Python in the pass that makes these, a few megabytes at a time."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, labels = spark.conf.get(limit), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = documents.union(documents.limit(20)).union(documents.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns and spark.conf.get(limit) == before
+    python = [line for line in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "Python" in line or "InArrow" in line]
+    assert python and not any("InArrow" in line for line in python)
+    assert all("text" not in line[line.index("(") : line.index(")#")] for line in python)
+    key = lambda r: (r["doc_id"] or -1, bool(r["kept"]))
+    want = sorted(key(r) for r in score(docs, labels).collect() if r["kept"])
+    assert sorted((r["doc_id"] or -1, True) for r in kept.collect()) == want
+
+
+def test_python_gets_bounded_batches(spark):
+    rows = spark.range(64, numPartitions=1).selectExpr("repeat('word ', 100000) AS text")
+    sizes = lambda: [r["n"] for r in rows.mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    with bounded_batches(spark):
+        some = sizes()
+    assert max(some) < 6e6 and sum(some) > 32e6 and max(sizes()) > 30e6
