@@ -35,3 +35,10 @@ def test_blocks_unfold_to_all_pairs(spark, tree, size):
     got = sorted((r["a"]["path"], r["b"]["path"], r["ord"]) for r in met.collect())
     folders = {("x", "z"): 5, ("x/y", "z"): 2, ("z", "x/y"): 9}
     assert got == sorted((f"{a}/f{i}", f"{b}/f{k}", n) for (a, b), n in folders.items() for i, k in product(range(7), range(7)))
+
+
+def test_keyed_pairs_are_not_joined(spark, tree, same_rows):
+    matches, files = tree
+    assert not [x for x in exchanges(queries.pair_key(spark, SF)) if "file_a" in x]
+    one = comparing.keyed_file_pairs(matches, files, "m", 20).drop(comparing.DEALT)
+    same_rows(one.toPandas(), comparing.keyed_pairs(comparing.file_pairs(matches, files), files, "m", 20).toPandas())
