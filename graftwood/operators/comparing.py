@@ -111,7 +111,6 @@ def pair_status(keyed: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 _ITEM = f"struct<func_a: variant, func_b: variant, scores: struct<{', '.join(f'{d}: variant' for d in DIMENSIONS)}>, composite_score: variant, similarity_level: variant, analysis: variant>"
-_FUNCTION = "struct<name: variant, line_start: variant, line_end: variant>"
 
 
 def _integer(value: Column) -> tuple[Column, Column]:
@@ -126,26 +125,25 @@ def parse_similar(replies: DataFrame, threshold: int | None = None) -> DataFrame
     Files are those of the request.  Scores are made integers as Python makes
     them; an item without func_a or func_b, or with a score that is no number, is
     dropped; an unknown level is very_low.  ``threshold``: also drop items with a
-    lower composite score (off by default, as the model is asked to).  An item is
-    taken apart once, into one struct.
+    lower composite score (off by default, as the model is asked to).  A reply is
+    taken apart once, below the explosion: above it, filters that move through a
+    projection would repeat the work for each field that they ask for.  The outer
+    form of the explosion is one that no such filter is made for; its empty rows go.
     """
-    items = replies.withColumn("__items", F.try_variant_get(F.try_parse_json("reply"), "$.similar_functions", "array<variant>"))
-    rows = items.select("ord", "file_a", "file_b", F.posexplode("__items").alias("pos", "item"))
-    rows = rows.select("ord", "file_a", "file_b", "pos", F.try_variant_get("item", "$", _ITEM).alias("i")).filter("i.func_a is not null and i.func_b is not null")
-    side = lambda k: F.try_variant_get(F.col(f"i.func_{k}"), "$", _FUNCTION).alias(k)
-    rows = rows.select("ord", "file_a", "file_b", "pos", "i", side("a"), side("b"))
-    text = lambda c, default: F.coalesce(F.try_variant_get(F.col(c), "$", "string"), F.lit(default))
-    line = lambda c: F.coalesce(F.try_variant_get(F.col(c), "$", "int"), F.lit(0))
+    items = replies.withColumn("__items", F.try_variant_get(F.try_parse_json("reply"), "$.similar_functions", f"array<{_ITEM}>"))
+    rows = items.select("ord", "file_a", "file_b", F.posexplode_outer("__items").alias("pos", "i")).filter("i.func_a is not null and i.func_b is not null")
+    text = lambda c, path, default: F.coalesce(F.try_variant_get(F.col(c), path, "string"), F.lit(default))
+    line = lambda c, path: F.coalesce(F.try_variant_get(F.col(c), path, "int"), F.lit(0))
     scores = {name: _integer(F.col(f"i.scores.{name}")) for name in DIMENSIONS} | {"composite_score": _integer(F.col("i.composite_score"))}
     level = F.try_variant_get(F.col("i.similarity_level"), "$", "string")
     fine = reduce(and_, (ok for _, ok in scores.values()))
     parsed = rows.filter(fine).select(
         "ord", "file_a", "file_b", "pos",
-        text("a.name", "unknown").alias("name_a"), line("a.line_start").alias("start_a"), line("a.line_end").alias("end_a"),
-        text("b.name", "unknown").alias("name_b"), line("b.line_start").alias("start_b"), line("b.line_end").alias("end_b"),
+        text("i.func_a", "$.name", "unknown").alias("name_a"), line("i.func_a", "$.line_start").alias("start_a"), line("i.func_a", "$.line_end").alias("end_a"),
+        text("i.func_b", "$.name", "unknown").alias("name_b"), line("i.func_b", "$.line_start").alias("start_b"), line("i.func_b", "$.line_end").alias("end_b"),
         *(v.cast("long").alias(k) for k, (v, _) in scores.items()),
         F.when(level.isin(*LEVELS), level).otherwise(LEVELS[-1]).alias("similarity_level"),
-        text("i.analysis", "").alias("analysis"),
+        text("i.analysis", "$", "").alias("analysis"),
     )
     return parsed if threshold is None else parsed.filter(F.col("composite_score") >= threshold)
 
