@@ -2,28 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import SparkSession
-
-from ..streaming.workspace import materialize, shared_dir
+from ..streaming.workspace import bounded_batches, materialize, shared_dir
 
 __all__ = ["bounded_batches", "materialize", "shared_dir"]
-
-_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-@contextmanager
-def bounded_batches(spark: SparkSession, limit: int = 1 << 22) -> Iterator[None]:
-    """What is executed inside hands Python about ``limit`` bytes at a time, or less where the session says so; the setting is put back.
-
-    Executors hold a batch several times: as vectors, as the stream of them, and in Python.
-    """
-    before = spark.conf.get(_BYTES)
-    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
-    spark.conf.set(_BYTES, str(min(limit, size) if size > 0 else limit))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BYTES, before)

@@ -21,7 +21,7 @@ from ..operators import comparing, matching, summaries, tree
 from ..schema import CACHE_DIR, CACHE_FILE, CACHE_PAIR, CACHE_REPLY
 from ..sources.tree import scan_tree
 from ..streaming.checkpoints import Checkpoint
-from ..streaming.workspace import hadoop, located, materialize, write_text
+from ..streaming.workspace import bounded_batches, hadoop, located, materialize, write_text
 from .report import Report, pairs_text, rendered, summaries_text
 
 log = logging.getLogger(__name__)
@@ -73,7 +73,8 @@ class Comparison:
             prompts = some if prompt is None else self.cut(prompt(some).join(some.select("id", "turn"), "id"))
             for k in range(start, min(turns, start + TURNS_AT_ONCE)):
                 now = prompts.filter(F.col("turn") == k).select("id", "kind", "system", "user")
-                got = self.cut(answer_all(now, self.make, parts, c.max_in_flight))
+                with bounded_batches(self.spark):
+                    got = self.cut(answer_all(now, self.make, parts, c.max_in_flight))
                 good = keys.filter(F.col("turn") == k).join(got.filter("error is null"), "id")
                 self.replies.append(good.select(F.lit(self.replies.version).alias("v"), "key", "reply"), self.seq)
                 self.calls += got.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
+from graftwood.backends.base import ReplayBackend
+from graftwood.config import CompareConfig
 from graftwood.plans import replayed
+from graftwood.plans.compare import Comparison
+
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _documents(spark, at, rows: list[tuple]) -> str:
@@ -14,3 +21,24 @@ def test_a_folder_of_many_files_is_summarised_in_parts(spark, duck, tmp_path, sa
     sf = _documents(spark, tmp_path, [(2 * k, f"text {k}", "en", "src0", 6) for k in range(9000)] + [(1, "b", "de", "src1", 1)])
     got = replayed.replayed_dir_summaries(spark, sf).toPandas()
     assert len(got) == 6 and set(got["summary"]) == {replayed.DIR_REPLY} and not got["degraded"].any()
+
+
+def test_python_is_handed_a_few_megabytes_at_a_time(spark, tmp_path, monkeypatch):
+    from graftwood.plans import compare
+
+    seen, answer_all = [], compare.answer_all
+
+    def counted(requests, *more):
+        def sizes(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"n": [int(pdf["user"].str.len().sum())]})
+
+        seen.append(max(r["n"] for r in requests.coalesce(1).mapInPandas(sizes, "n long").collect()))
+        return answer_all(requests, *more)
+
+    monkeypatch.setattr(compare, "answer_all", counted)
+    run = Comparison(spark, CompareConfig(output_dir=str(tmp_path / "out"), flush_every=1_000_000), lambda parts: ReplayBackend({"file_summary": "{}"}))
+    before = spark.conf.get(BYTES)
+    answers = run.ask(spark.range(400).selectExpr("cast(id as string) as id", "'file_summary' as kind", "'s' as system", "repeat('x', 100000) as user"))
+    assert answers.count() == 400 and len(seen) == 1 and seen[0] < 8_000_000
+    assert spark.conf.get(BYTES) == before
