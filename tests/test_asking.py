@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 
 from graftwood.backends.base import ReplayBackend
+from graftwood.backends.offline import OfflineBackend
 from graftwood.config import CompareConfig
+from graftwood.operators import comparing
 from graftwood.plans import replayed
 from graftwood.plans.compare import Comparison
 
@@ -42,3 +44,16 @@ def test_python_is_handed_a_few_megabytes_at_a_time(spark, tmp_path, monkeypatch
     answers = run.ask(spark.range(400).selectExpr("cast(id as string) as id", "'file_summary' as kind", "'s' as system", "repeat('x', 100000) as user"))
     assert answers.count() == 400 and len(seen) == 1 and seen[0] < 8_000_000
     assert spark.conf.get(BYTES) == before
+
+
+def test_prompts_of_large_turns_are_never_written(spark, tmp_path, monkeypatch, same_rows):
+    files = spark.createDataFrame([(r, f"{d}/f{k}", d, "go", 1, "" if k == 3 else f"{r}{k}" * 9) for r in "AB" for d in "xy" for k in range(6)], "repo string, path string, dir string, language string, line_count int, content string")
+    matches = spark.createDataFrame([(1, "x", "y"), (2, "y", "y")], "ord int, dir_a string, dir_b string")
+    cut, written, got = Comparison.cut, [], []
+    monkeypatch.setattr(Comparison, "cut", lambda self, df: written.append(df.columns) or cut(self, df))
+    for flush in (1_000_000, 7):
+        run = Comparison(spark, CompareConfig(output_dir=str(tmp_path / f"out{flush}"), flush_every=flush), lambda parts: OfflineBackend())
+        got.append(run.compare(comparing.file_pairs(matches, files), files).toPandas())
+        assert run.calls == 50 and any("user" in c for c in written) == (flush == 7)
+    assert len(got[0]) == 72 and set(got[0]["status"]) == {"new", "skipped"}
+    same_rows(*got)
